@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glyphmill.llm import canonical_values, cross_split, grouped_splits, lookalikes
+from glyphmill.llm import canonical_values, cross_split, grouped_splits, lookalikes, template_residue
 from glyphmill.sources.tables import table
 
 
@@ -55,6 +55,17 @@ def p6_unmatched(spark: SparkSession, sf_dir: str) -> DataFrame:
     return canonical_values.unmatched_values(table(spark, sf_dir, "tagging_gt_v1"), table(spark, sf_dir, "tag_vocabulary"))
 
 
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return template_residue.residue(table(spark, sf_dir, "documents")).where("found").select("doc_id").distinct()
+
+
+def p9_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents without residue; null and empty texts stay."""
+    docs = table(spark, sf_dir, "documents")
+    bad = template_residue.residue(docs).where("found").select("doc_id").distinct()
+    return docs.join(bad, "doc_id", "left_anti").select("doc_id", "source", "n_chars")
+
+
 QUERIES = {
     "p1_found": p1_found,
     "p1_splits": p1_splits,
@@ -65,4 +76,6 @@ QUERIES = {
     "p5_report": p5_report,
     "p6_found": p6_found,
     "p6_unmatched": p6_unmatched,
+    "p9_found": p9_found,
+    "p9_clean": p9_clean,
 }
