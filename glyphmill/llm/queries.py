@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glyphmill.llm import canonical_values, cross_split, grouped_splits, lookalikes, template_residue
+from glyphmill.llm import canonical_values, cross_split, grouped_splits, lookalikes, mixing, name_variants, packing, template_residue
 from glyphmill.sources.tables import table
 
 
@@ -23,6 +23,18 @@ def p1_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grouped_splits.split_shares(grouped_splits.assign_splits(table(spark, sf_dir, "crop_manifest"), targets), targets)
 
 
+def _named(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "tagging_gt_v1").where("eval_name = '1'")
+
+
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return name_variants.same_business_pairs(_named(spark, sf_dir))
+
+
+def p2_businesses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return name_variants.businesses(_named(spark, sf_dir))
+
+
 def _forms(spark: SparkSession, sf_dir: str) -> DataFrame:
     gt = table(spark, sf_dir, "ocr_gangnam_gt").select(F.lit("ocr_gangnam_gt").alias("table_name"), "image_name", F.col("gt_text").alias("text"))
     tags = table(spark, sf_dir, "tagging_gt_v1").select(F.lit("tagging_gt_v1").alias("table_name"), "image_name", F.col("name").alias("text"))
@@ -55,6 +67,23 @@ def p6_unmatched(spark: SparkSession, sf_dir: str) -> DataFrame:
     return canonical_values.unmatched_values(table(spark, sf_dir, "tagging_gt_v1"), table(spark, sf_dir, "tag_vocabulary"))
 
 
+def p7_contents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), table(spark, sf_dir, "containers"))
+
+
+def p7_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    containers = table(spark, sf_dir, "containers")
+    return packing.fill_report(packing.pack(table(spark, sf_dir, "documents"), containers), containers)
+
+
+def p8_drawn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"))[0]
+
+
+def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"))[1]
+
+
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return template_residue.residue(table(spark, sf_dir, "documents")).where("found").select("doc_id").distinct()
 
@@ -70,12 +99,18 @@ QUERIES = {
     "p1_found": p1_found,
     "p1_splits": p1_splits,
     "p1_shares": p1_shares,
+    "p2_found": p2_found,
+    "p2_businesses": p2_businesses,
     "p3_found": p3_found,
     "p3_forms": p3_forms,
     "p5_found": p5_found,
     "p5_report": p5_report,
     "p6_found": p6_found,
     "p6_unmatched": p6_unmatched,
+    "p7_contents": p7_contents,
+    "p7_fill": p7_fill,
+    "p8_drawn": p8_drawn,
+    "p8_shares": p8_shares,
     "p9_found": p9_found,
     "p9_clean": p9_clean,
 }

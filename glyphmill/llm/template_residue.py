@@ -65,7 +65,7 @@ GAP = regex.compile(
 )
 HINTED = regex.compile(r"(?<!\[)\[\s*([\p{L}][^\[\]\n\"]{1,60})\](?!\])|(?<!<)<\s*([\p{L}][^<>\n\"=/]{1,60})>(?!>)|\(\s*([\p{L}][^()\n\"]{1,30}(?:\([^()\n]{1,4}\))?[^()\n\"]{1,40})\)")
 FIELD_SET = frozenset(FIELDS.split("|"))
-HINT_WORD = regex.compile("|".join(sorted({regex.escape(w) for h in HINTS for w in h.replace("%s", " ").split()}, key=len, reverse=True)), regex.IGNORECASE)
+HINT_WORD = regex.compile("|".join(sorted({rf"(?<![a-z]){regex.escape(w)}(?![a-z])" for h in HINTS for w in h.replace("%s", " ").split()}, key=len, reverse=True)), regex.IGNORECASE)
 MARKUP = regex.compile(r"(?i)(?:h[1-6]|p|br|hr|b|i|u|em|strong|a|div|span|ul|ol|li|table|tr|td|th|html|body|head|title|pre|code|img)")
 
 _PIECE = regex.compile(r"[^\n.!?。？！…|]+(?:[.!?。？！…](?=\S)(?<![。？！…])[^\n.!?。？！…|]*)*[.!?。？！…|]*")
