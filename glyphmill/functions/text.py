@@ -32,7 +32,7 @@ def norm_key(c: Column, ascii_only: bool = False) -> Column:
 
 def base_norm(c: Column, english_only: bool = False, ascii_only: bool = False) -> Column:
     """Scoring form: NFKC, zero-width space dropped, lower case, phones blanked, only key characters and blanks kept."""
-    t = F.lower(F.replace(c if ascii_only else nfkc(c), F.lit("​"), F.lit("")))
+    t = F.lower(F.replace(c if ascii_only else nfkc(c), F.lit("\u200b"), F.lit("")))
     t = F.regexp_replace(t, PHONE, " ")
     t = F.regexp_replace(t, "[가-힣]", "") if english_only else t
     return F.regexp_replace(t, r"[^0-9a-z가-힣\s]", "")

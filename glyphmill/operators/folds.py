@@ -20,11 +20,11 @@ def shared_groups(items: DataFrame, node: str, region: str, key: str) -> DataFra
     """
     i = cut(items.select(region, node, key).where(F.col(node).isNotNull()).distinct())
     rep = i.where(F.col(key).isNotNull()).groupBy(region, key).agg(F.min(node).alias("_m"))
-    sep = F.lit("\u0001")
+    sep = "\u0001"
     edges = i.join(rep, [region, key]).select(F.concat_ws(sep, region, node).alias("a"), F.concat_ws(sep, region, "_m").alias("b"))
     alone = i.select(F.concat_ws(sep, region, node).alias("a"), F.concat_ws(sep, region, node).alias("b"))
     c = components(edges.union(alone))
-    return c.select(F.split_part("node", sep, F.lit(1)).alias(region), F.split_part("node", sep, F.lit(2)).alias(node), F.split_part("component", sep, F.lit(2)).alias("group_id"))
+    return c.select(F.split_part("node", F.lit(sep), F.lit(1)).alias(region), F.split_part("node", F.lit(sep), F.lit(2)).alias(node), F.split_part("component", F.lit(sep), F.lit(2)).alias("group_id"))
 
 
 def level(sizes: dict[int, int], k: int) -> list[tuple[int, int, int, int]]:

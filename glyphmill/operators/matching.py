@@ -106,7 +106,7 @@ def majority(readings: DataFrame, key: list[str], text: str, norm: Column, rank:
     r = readings.select(*key, F.col(text).alias("_t"), norm.alias("_n"), F.col(rank).alias("_r"))
     per = r.groupBy(*key, "_n").agg(F.count(F.lit(1)).alias("votes"), F.min_by("_t", "_r").alias("_t"), F.min("_r").alias("_r"))
     good = F.when((F.col("_n") != "") & (F.col("votes") >= need), F.col("votes")).otherwise(0)
-    best = per.groupBy(*key).agg(F.max_by(F.struct("_t", "votes"), F.struct(good, -F.col("_r"))).alias("_b"))
+    best = per.groupBy(*key).agg(F.min_by(F.struct("_t", "votes"), F.struct(-good, "_r")).alias("_b"))
     return best.select(*key, F.col("_b._t").alias("text"), F.col("_b.votes").alias("votes"))
 
 

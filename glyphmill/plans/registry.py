@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from glyphmill.plans import multivalue
+from glyphmill.plans import boxes, multivalue, records, texts
 
 Query = Callable[[SparkSession, str], DataFrame]
-MODULES = (multivalue,)
+MODULES = (records, texts, boxes, multivalue)
 
 
 def queries() -> dict[str, Query]:

@@ -19,7 +19,7 @@ TAGS = "image_name string, region string, name string, tag string, verdict strin
 
 def pick(df: DataFrame, names: tuple[str, ...]) -> str | None:
     """The first of ``names`` among the columns, letter case, blanks and a byte-order mark set aside."""
-    own = {c.strip().lstrip("﻿").lower(): c for c in df.columns}
+    own = {c.strip().lstrip("\ufeff").lower(): c for c in df.columns}
     return next((own[n] for n in names if n in own), None)
 
 
@@ -30,7 +30,7 @@ def stem(c: Column) -> Column:
 def read_csv(spark: SparkSession, path: str, encoding: str = "UTF-8", sep: str = ",") -> DataFrame:
     """All columns as strings; quoted cells may hold newlines and doubled quotes; empty cells are null."""
     df = spark.read.csv(path, header=True, encoding=encoding, sep=sep, multiLine=True, quote='"', escape='"')
-    return df.withColumnsRenamed({c: c.lstrip("﻿") for c in df.columns})
+    return df.withColumnsRenamed({c: c.lstrip("\ufeff") for c in df.columns})
 
 
 def text_map(df: DataFrame, ordinal: str) -> DataFrame:
