@@ -108,7 +108,13 @@ class Transducer:
             out.extend(step[use] for step in word)
             word.clear()
 
+        before = ""
         for cluster in _CLUSTER.findall(text):
+            mark = before == "\\" and cluster in ("n", "r", "t")  # a newline written out, not part of the next word
+            before = cluster
+            if mark:
+                out.append(cluster)
+                continue
             step = self.known.get(cluster)
             if step is None:
                 step = self._step(cluster)
