@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from glyphmill.operators.lineage import cut
+
 BLANK = r"[\s\p{Z}]"
 INNER_BLANK = r"[^\S\n\r\t]|\p{Z}"
 
@@ -18,6 +20,8 @@ CANDIDATES = {
     SPACED_DASH: 0.0, "&": 0.0, "+": 0.0, ":": 0.0, ".": 0.0, "-": 0.0,
 }
 PRIOR_WEIGHT = 4.0
+#: Sources up to which their separators, a few bytes each, are broadcast.
+FEW_SOURCES = 10_000
 ACCEPT = 0.2
 
 
@@ -95,15 +99,18 @@ def split_values(df: DataFrame, key: list[str], value: str, source: Column | Non
     any evidence uses the candidates whose support before evidence is full. A separator inside a quoted field, a
     number, a fraction or a time does not separate. Quoting and blanks around a value are removed, doubled quotes
     inside quoting become one, empty values are dropped and take no position. Null and empty cells give no row; equal
-    rows count once; other columns of ``df`` are ignored.
+    rows count once, as do rows of one key with equal values; other columns of ``df`` are ignored.
     """
     source = F.lit("all") if source is None else source
     scores = separator_scores(df, value, source).where("accepted")
     names = F.create_map(*[x for m in CANDIDATES for x in (F.lit(m), F.lit(_class(m)))])
     marks = scores.groupBy("source").agg(F.array_join(F.sort_array(F.collect_set(names[F.col("mark")])), "").alias("_marks"))
     default = "".join(_class(m) for m, p in CANDIDATES.items() if p == 1.0)
-    cells = df.select(*key, F.col(value).alias("_cell"), source.alias("_source")).where(F.col("_cell").isNotNull()).distinct()
+    cells = df.select(*key, F.col(value).alias("_cell"), source.alias("_source")).where(F.col("_cell").isNotNull())
+    marks = cut(marks)
+    if marks.limit(FEW_SOURCES + 1).count() <= FEW_SOURCES:  # else a join that shuffles cells by source
+        marks = F.broadcast(marks)
     joined = cells.join(marks, cells["_source"].eqNullSafe(marks["source"]), "left")
-    found = joined.select(*key, _pieces(_protect(F.col("_cell")), F.coalesce("_marks", F.lit(default))).alias("_values"))
+    found = joined.select(*key, _pieces(_protect(F.col("_cell")), F.coalesce("_marks", F.lit(default))).alias("_values")).distinct()
     out = found.select(*key, F.size("_values").alias("n_values"), F.posexplode("_values").alias("pos", "value"))
     return out.select(*key, (F.col("pos") + 1).cast("int").alias("pos"), _restore(F.col("value")).alias("value"), "n_values")
