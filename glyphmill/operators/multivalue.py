@@ -66,11 +66,11 @@ def separator_scores(df: DataFrame, value: str, source: Column) -> DataFrame:
     A candidate is scored by the regularity of what it leaves: the share of its pieces that also stand as whole values
     elsewhere in the source, alone in a cell or between other candidates, times the share of pieces that are not
     empty. What a hyphen or an ampersand inside names and numbers leaves never does. Candidates start with the support
-    in ``CANDIDATES``, worth ``PRIOR_WEIGHT`` pieces. All rows count; pieces are pre-aggregated before the shuffle.
+    in ``CANDIDATES``, worth ``PRIOR_WEIGHT`` pieces. All rows count, a piece once per cell; pieces are pre-aggregated before the shuffle.
     """
     t = df.where(F.col(value).isNotNull()).select(source.alias("source"), _protect(F.col(value)).alias("_t"))
     marks = list(CANDIDATES)
-    splits = F.array(*[F.when(F.contains("_t", F.lit(m)), F.struct(F.lit(i).alias("d"), F.transform(_raw(F.col("_t"), m), F.trim).alias("p"))) for i, m in enumerate(marks)])
+    splits = F.array(*[F.when(F.contains("_t", F.lit(m)), F.struct(F.lit(i).alias("d"), F.array_distinct(F.transform(_raw(F.col("_t"), m), F.trim)).alias("p"))) for i, m in enumerate(marks)])
     alone = F.when(~F.col("_t").rlike("[" + "".join(_class(m) for m in marks) + "]"), F.struct(F.lit(len(marks)).alias("d"), F.array(F.trim("_t")).alias("p")))
     each = t.select("source", F.explode(F.array_compact(F.concat(splits, F.array(alone)))).alias("s")).select("source", "s.d", F.explode("s.p").alias("piece"))
     n = each.groupBy("source", "piece", "d").agg(F.count(F.lit(1)).alias("n"))
