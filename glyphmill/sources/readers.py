@@ -113,7 +113,7 @@ def in_region(df: DataFrame, regions: DataFrame) -> DataFrame:
     d = df.withColumns({"lat": F.col("lat").try_cast("double"), "lon": F.col("lon").try_cast("double")}).where("lat is not null and lon is not null")
     r = regions
     on = d.lat.between(r.lat0, r.lat1) & d.lon.between(r.lon0, r.lon1)
-    return d.join(F.broadcast(r), on).drop("lat0", "lat1", "lon0", "lon1")
+    return d.join(r, on).drop("lat0", "lat1", "lon0", "lon1")
 
 
 def not_done(todo: DataFrame, done: DataFrame, key: str) -> DataFrame:
