@@ -71,8 +71,12 @@ MARKUP = regex.compile(r"(?i)(?:h[1-6]|p|br|hr|b|i|u|em|strong|a|div|span|ul|ol|
 _PIECE = regex.compile(r"[^\n.!?。？！…|]+(?:[.!?。？！…](?=\S)(?<![。？！…])[^\n.!?。？！…|]*)*[.!?。？！…|]*")
 ORDERS, BITS = (3, 4, 5), 18
 SLOTS = len(ORDERS) << BITS
-#: Grams of prior weight per order, the score from which a piece trains the residue model, and the letters a piece needs.
+#: Grams of prior weight per order, the score from which a piece trains the residue model, and the letters from which a
+#: piece's score stands by itself; that of fewer letters is averaged with DOUBT_GRAMS grams of the score DOUBT.
 PRIOR, SURE, LEAST_RUN = 400.0, 0.8, 8
+DOUBT, DOUBT_GRAMS = -1.0, 4
+#: Neighbouring short pieces that are judged together, at most.
+WINDOW = 3
 #: A piece is residue from STRONG on; one next to residue, to either side, already from WEAK on.
 STRONG, WEAK = -0.4, -1.2
 
@@ -140,6 +144,36 @@ def pieces(text: str, table: np.ndarray) -> list[tuple[int, int, int, float]]:
     return out
 
 
+def weighed(found: list[tuple[int, int, int, float]]) -> list[float]:
+    """The scores of some pieces, short ones judged by all their grams.
+
+    Pieces under LEAST_RUN letters count alone and in windows with neighbouring short ones, the best of these scores
+    is theirs. In a window of few letters a score weighs by the number of grams, so one chance gram decides nothing.
+    """
+    out = [p[3] for p in found]
+    short = [p[2] < LEAST_RUN for p in found]
+    for i, p in enumerate(found):
+        if short[i]:
+            out[i] = -np.inf
+    for i in range(len(found)):
+        total, n, letters = 0.0, 0, 0
+        for j in range(i, min(i + WINDOW, len(found))):
+            if not short[j]:
+                break
+            a, b, own, score = found[j]
+            k = b - a - ORDERS[0] + 1
+            total, n, letters = total + score * k, n + k, letters + own
+            mean = total / n if letters >= LEAST_RUN else (total + DOUBT * DOUBT_GRAMS) / (n + DOUBT_GRAMS)
+            out[i : j + 1] = [max(x, mean) for x in out[i : j + 1]]
+    return out
+
+
+def sure(text: str, table: np.ndarray) -> list[str]:
+    """The pieces of a text that train the residue model."""
+    found = pieces(text, table)
+    return [text[p[0] : p[1]] for p, score in zip(found, weighed(found), strict=True) if score >= SURE]
+
+
 def hint_table(natural: np.ndarray) -> np.ndarray:
     """The model of hints in gaps against natural prose."""
     fields = FIELDS.split("|")
@@ -162,16 +196,19 @@ def gaps(text: str, hints: np.ndarray) -> list[tuple[int, int]]:
 
 
 def residue_runs(text: str, table: np.ndarray) -> tuple[int, int, bool]:
-    """``(letters in residue pieces, letters in all, residue closes the text)``."""
+    """``(letters in residue pieces, letters in all, residue closes the text)``.
+
+    Every piece is judged. A short one that is no residue even next to some parts no neighbours and does not close the text.
+    """
     found = pieces(text, table)
     total = sum(p[2] for p in found)
-    found = [p for p in found if p[2] >= LEAST_RUN]
-    hit = [p[3] > STRONG for p in found]
+    found = [(p[2], score) for p, score in zip(found, weighed(found), strict=True) if score > WEAK or p[2] >= LEAST_RUN]
+    hit = [score > STRONG for _, score in found]
     for order in (range(1, len(found)), range(len(found) - 2, -1, -1)):
         step = -1 if order.step == 1 else 1
         for i in order:
-            hit[i] = hit[i] or (hit[i + step] and found[i][3] > WEAK)
-    return sum(p[2] for p, h in zip(found, hit, strict=True) if h), total, bool(hit and hit[-1])
+            hit[i] = hit[i] or (hit[i + step] and found[i][1] > WEAK)
+    return sum(n for (n, _), h in zip(found, hit, strict=True) if h), total, bool(hit and hit[-1])
 
 
 def judged(text: str | None, table: np.ndarray, hints: np.ndarray) -> tuple[int, float, bool]:
@@ -215,7 +252,7 @@ def fit(documents: DataFrame, text: str = "text") -> tuple[np.ndarray, np.ndarra
 
     natural = _summed(documents, text, lambda t: [t])
     first = documents.sparkSession.sparkContext.broadcast(ratios(start, natural))
-    moved = _summed(documents, text, lambda t: [t[a:b] for a, b, n, score in pieces(t, first.value) if score >= SURE and n >= LEAST_RUN])
+    moved = _summed(documents, text, lambda t: sure(t, first.value))
     weight = max(1.0, moved.sum() / max(start.sum(), 1) / 4)
     natural = natural - moved
     return ratios(start * weight + moved, natural), hint_table(natural)

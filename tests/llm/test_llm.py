@@ -187,3 +187,13 @@ def test_p9_residue(spark):
     got = {r["doc_id"] for r in template_residue.residue(docs(spark, rows)).where("found").collect()}
     assert got == set(bad)
     assert template_residue.residue(docs(spark, rows).limit(0)).count() == 0
+
+
+def test_p9_short_pieces(spark):
+    natural = [f"Crop {i} shows the bakery next to a plate for the hotel. Open. The sign was painted by hand in {1900 + i}. 둘째 줄. 간판은 {i}번 사진에 있다. 第{i}张图。 旧字还在。" for i in range(300)]
+    bad = {1000: "服务暂时不可用。 请稍后再试。", 1001: "견본 글입니다. 견본 글입니다.", 1002: "拒绝访问。", 1003: natural[5] + "\n请稍后再试。", 1004: "오류 404\n拒绝访问。"}
+    fine = {2000: "Open", 2001: "둘째 줄.", 2002: "旧字还在。 第7张图。", 2003: natural[9] + "\nOpen"}
+    rows = [(i, t, "s") for i, t in enumerate(natural)] + [(k, v, "s") for k, v in [*bad.items(), *fine.items()]]
+    got = {r["doc_id"]: r["coverage"] for r in template_residue.residue(docs(spark, rows)).where("found").collect()}
+    assert set(got) == set(bad)
+    assert got[1000] == got[1001] == 1
