@@ -197,3 +197,28 @@ def test_p9_short_pieces(spark):
     got = {r["doc_id"]: r["coverage"] for r in template_residue.residue(docs(spark, rows)).where("found").collect()}
     assert set(got) == set(bad)
     assert got[1000] == got[1001] == 1
+
+
+def test_p2_every_accepted_pair_is_a_candidate(spark):
+    rng = random.Random(7)
+
+    def slip(s, letters):
+        i = rng.randrange(len(s))
+        return rng.choice([s[:i] + s[i + 1 :], s[:i] + rng.choice(letters) + s[i:], s[:i] + rng.choice(letters) + s[i + 1 :], s[:i] + s[i + 1 : i + 2] + s[i] + s[i + 2 :]])
+
+    ko, la = "가나다라마바사아자차카타파하거너더러머버", "abcdefghiklmnoprstuv"
+    rows = {}
+    for n in [5, 6, 7, 8, 9, 12, 13, 14, 15, 16, 20, 40] * 3:
+        own = "".join(rng.choice(ko) for _ in range(n))
+        for y in [own] + [slip(slip(own, ko), ko) for _ in range(3)] + [slip(own, ko), slip(own[n // 2 :] + own[: n // 2], ko)]:
+            rows["ko:" + y] = ("ko", [y])
+    for _ in range(40):
+        own = ["".join(rng.choice(la) for _ in range(rng.choice([4, 6, 7, 8, 11, 14, 17]))) for _ in range(rng.choice([2, 2, 3, 15]))]
+        for _ in range(5):
+            p = [rng.choice([w, w[: rng.randint(3, 14)] + ".", slip(w[:6], la) + ".", slip(w, la), slip(slip(w, la), la)]) for w in own]
+            p = sorted(set(rng.sample(p, max(2, len(p) - rng.randint(0, 2)))))
+            rows["la:" + " ".join(p)] = ("la", p)
+    want = {(a, b) for a, b in itertools.combinations(sorted(rows), 2) if rows[a][0] == rows[b][0] and name_variants.same_core(rows[a][0], rows[a][1], rows[b][1])}
+    nodes = spark.createDataFrame([(k, *v) for k, v in rows.items()], "node string, kind string, parts array<string>")
+    got = [(r["a"], r["b"]) for r in name_variants.candidate_pairs(nodes).collect()]
+    assert len(want) > 200 and want <= set(got) and len(got) == len(set(got))
