@@ -222,3 +222,13 @@ def test_p2_every_accepted_pair_is_a_candidate(spark):
     nodes = spark.createDataFrame([(k, *v) for k, v in rows.items()], "node string, kind string, parts array<string>")
     got = [(r["a"], r["b"]) for r in name_variants.candidate_pairs(nodes).collect()]
     assert len(want) > 200 and want <= set(got) and len(got) == len(set(got))
+
+
+def test_p2_one_word_and_short_names(spark):
+    rows = [
+        ("a1", "Starbucks Coffee"), ("a2", "Starbuks Coffee"), ("b1", "스타벅스 카페"), ("b2", "스타박스"), ("c1", "Kim Hair"), ("c2", "Kim Pizza"), ("c3", "Kin Hair"), ("c4", "KIM, HAIR"),
+        ("d1", "삼미 식당"), ("d2", "삼마 식당"), ("e1", "Starling Coffee"), ("f1", "Babrabradar"), ("f2", "Babrabradar Tirenigix"),
+    ]
+    df = spark.createDataFrame([(*r, "k", "n") for r in rows], "image_name string, name string, node string, kind string")
+    got = {tuple(r) for r in name_variants.same_business_pairs(df).collect()}
+    assert got == {("a1", "a2"), ("b1", "b2"), ("c1", "c4")}
