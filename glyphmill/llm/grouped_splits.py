@@ -16,8 +16,9 @@ SPLIT_NAMES = {
     "test": "test", "testing": "test", "tst": "test",
 }
 
-#: Bits of a subset-sum table. Sizes are counted in units of ``ceil(total / TABLE_BITS)`` records, one record up to 4 million.
+#: Records up to which a subset-sum table covers all of them, and over that the records it may be asked to close.
 TABLE_BITS = 1 << 22
+GAP = TABLE_BITS // 8
 
 
 def photo_number(c: Column) -> Column:
@@ -65,50 +66,76 @@ def torn_photos(records: DataFrame, split_col: str = "split", id_col: str = "sou
     return here.where("_id is not null").join(torn, "component", "left_semi").select(F.col("_id").alias("source_image_id")).distinct()
 
 
+def _closest(sizes: dict[int, int], goal: int, unit: int = 1, over: bool = True) -> dict[int, int]:
+    """How many groups of each size make up the reachable total closest to ``goal`` records, the smaller one on a tie.
+
+    A bitset holds the totals reachable with some of the sizes (multiplicities in binary chunks), traced back from the
+    chosen one. Sizes are rounded up to whole units; without ``over`` no total over the goal is taken.
+    """
+    goal //= unit
+    room = (1 << (2 * goal + 2)) - 1
+    items = []
+    for size in sorted(sizes, reverse=True):
+        n, k = sizes[size], 1
+        while n > 0:
+            take = min(k, n)
+            items.append((size, take))
+            n, k = n - take, k * 2
+    reach = [1]
+    for size, take in items:
+        w = -(-size // unit) * take
+        reach.append(reach[-1] if w > 2 * goal + 1 else (reach[-1] | (reach[-1] << w)) & room)
+    last = reach[-1]
+    at = (last & ((1 << (goal + 1)) - 1)).bit_length() - 1
+    high = last >> goal
+    if over and high:
+        above = goal + (high & -high).bit_length() - 1
+        at = at if goal - at <= above - goal else above
+    chosen: dict[int, int] = {}
+    for j in range(len(items) - 1, -1, -1):
+        size, take = items[j]
+        if reach[j] >> at & 1:
+            continue
+        chosen[size] = chosen.get(size, 0) + take
+        at -= -(-size // unit) * take
+    return chosen
+
+
 def choose_counts(sizes: dict[int, int], targets: list[tuple[str, float]]) -> dict[str, dict[int, int]]:
     """How many groups of each size every split gets, by subset sums over the size multiplicities.
 
     ``sizes`` maps a group size to the number of such groups. The splits but the largest are filled in order of their
-    share: a bitset of the totals reachable with the sizes left is built (multiplicities in binary chunks), the
-    reachable total closest to the target is taken, the smaller one on a tie, and traced back. The largest split takes
-    the rest. With ``total <= TABLE_BITS`` the choice of each split is exact given the earlier ones.
+    share with the reachable total closest to the target; the largest split takes the rest. With ``total <= TABLE_BITS``
+    the choice of each split is exact given the earlier ones. Over that, groups of many records are placed first in
+    coarse units, never over the target, then smaller ones down to a gap of GAP records, which is closed by record.
     """
     if not targets:
         return {}
     total = sum(s * n for s, n in sizes.items())
-    unit = max(1, -(-total // TABLE_BITS))
     order = sorted(targets, key=lambda t: (-t[1], t[0]))
     rest, out = dict(sizes), {}
     for name, share in sorted(order[1:], key=lambda t: (t[1], t[0])):
-        goal = round(share * total / unit)
-        room = (1 << (2 * goal + 2)) - 1
-        items = []
-        for size in sorted(rest, reverse=True):
-            n, k = rest[size], 1
-            while n > 0:
-                take = min(k, n)
-                items.append((size, take))
-                n, k = n - take, k * 2
-        reach = [1]
-        for size, take in items:
-            w = -(-size // unit) * take
-            reach.append(reach[-1] if w > 2 * goal else (reach[-1] | (reach[-1] << w)) & room)
-        last = reach[-1]
-        low = last & ((1 << (goal + 1)) - 1)
-        below = low.bit_length() - 1
-        high = last >> goal
-        above = goal + ((high & -high).bit_length() - 1) if high else None
-        at = below if above is None or goal - below <= above - goal else above
+        gap = round(share * total)
         chosen: dict[int, int] = {}
-        for j in range(len(items) - 1, -1, -1):
-            size, take = items[j]
-            if reach[j] >> at & 1:
-                continue
-            chosen[size] = chosen.get(size, 0) + take
-            at -= -(-size // unit) * take
-        out[name] = chosen
-        for size, n in chosen.items():
-            rest[size] -= n
+
+        def place(got: dict[int, int], chosen: dict[int, int] = chosen) -> int:
+            for size, n in got.items():
+                chosen[size] = chosen.get(size, 0) + n
+                rest[size] -= n
+            return sum(size * n for size, n in got.items())
+
+        most = TABLE_BITS if total <= TABLE_BITS else GAP
+        while gap > most:
+            unit = -(-gap // GAP)
+            taken = place(_closest({s: n for s, n in rest.items() if s >= 8 * unit}, gap, unit, over=False))
+            gap -= taken
+            if not taken:
+                break
+        for size in sorted(rest, reverse=True):
+            if gap > most:
+                gap -= place({size: min(rest[size], (gap - most // 2) // size)})
+        place(_closest(rest, gap, max(1, -(-gap // most))))
+        out[name] = {s: n for s, n in chosen.items() if n}
     out[order[0][0]] = {s: n for s, n in rest.items() if n}
     return out
 

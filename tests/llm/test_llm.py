@@ -232,3 +232,17 @@ def test_p2_one_word_and_short_names(spark):
     df = spark.createDataFrame([(*r, "k", "n") for r in rows], "image_name string, name string, node string, kind string")
     got = {tuple(r) for r in name_variants.same_business_pairs(df).collect()}
     assert got == {("a1", "a2"), ("b1", "b2"), ("c1", "c4")}
+
+
+def test_p1_shares_of_many_records():
+    """Over 4 million records small groups count as what they are, large ones still fit."""
+    shares = [("train", 0.8), ("val", 0.1), ("test", 0.1)]
+    for sizes in ({1: 12_000_000}, {1: 9_000_000, 3: 1_000_000, 1_700_001: 1}, {7: 4_000_000, 90: 1_000_000, 12_000: 300}, {1: 900_000_000, 40: 5_000_000, 300_000_000: 1}):
+        total = sum(s * n for s, n in sizes.items())
+        plan = grouped_splits.choose_counts(sizes, shares)
+        assert all(sum(p.get(s, 0) for p in plan.values()) == n and min(p.get(s, 0) for p in plan.values()) >= 0 for s, n in sizes.items())
+        for name in ("val", "test"):
+            assert abs(sum(s * n for s, n in plan[name].items()) - round(0.1 * total)) <= 1
+    assert grouped_splits.choose_counts({3_000_000: 1, 2_000_000: 20, 1_000_000: 2}, [("a", 0.5), ("b", 0.5)])["b"]
+    plan = grouped_splits.choose_counts({50_000_000: 3, 5_000_000: 1}, shares)  # only whole large groups: the nearest is taken
+    assert plan["test"] == {5_000_000: 1} and plan["val"] == {}
