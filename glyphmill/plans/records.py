@@ -83,6 +83,12 @@ select key, word, cast(freq as bigint) as freq from r where rn = 1 and freq >= 3
 """
 
 
+def vocab_min_freq_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``vocab_min_freq`` over the documents in any script; SQL has no NFKC, so there is no oracle."""
+    w = table(spark, sf_dir, "documents").select(F.explode(F.split("text", r"\s+")).alias("word"))
+    return retrieval.vocabulary(w.select("word", t.norm_key(F.col("word")).alias("key")), 3)
+
+
 def coverage_by_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Share of supplier and customer keys found in the dictionary of part names or of each other."""
     keys = lambda n, c: table(spark, sf_dir, n).select(F.lit(n).alias("source"), t.norm_key(F.col(c), ascii_only=True).alias("key")).where("length(key) >= 2").distinct()
@@ -276,7 +282,7 @@ def bootstrap_ci(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stats.paired_bootstrap(p.select("photo", F.col("tp").alias("num_a"), F.col("truth").alias("den_a"), F.col("tp").alias("num_b"), (F.col("tp") + F.col("fp")).alias("den_b")), "photo")
 
 
-QUERIES = {f.__name__: f for f in (retrieve_lexical_topk, hint_lines, dict_merge_ranked, vocab_min_freq, coverage_by_source, retrieve_dense_topk, rrf_fusion, hit_at_k, log_latest, review_counts, decisions_apply, suspicion_queue, manifest_antijoin, cascade_counts, tag_eval_strata, repeatability, split_intersections, seen_unseen, share_components, fold_leak_audit, per_photo_ratios, bootstrap_ci)}
+QUERIES = {f.__name__: f for f in (retrieve_lexical_topk, hint_lines, dict_merge_ranked, vocab_min_freq, vocab_min_freq_all, coverage_by_source, retrieve_dense_topk, rrf_fusion, hit_at_k, log_latest, review_counts, decisions_apply, suspicion_queue, manifest_antijoin, cascade_counts, tag_eval_strata, repeatability, split_intersections, seen_unseen, share_components, fold_leak_audit, per_photo_ratios, bootstrap_ci)}
 ORACLES = {
     "retrieve_lexical_topk": RETRIEVE, "hint_lines": HINTS, "dict_merge_ranked": DICT_MERGE, "vocab_min_freq": VOCAB, "coverage_by_source": COVERAGE, "retrieve_dense_topk": DENSE,
     "rrf_fusion": RRF, "hit_at_k": HIT, "log_latest": LOG_LATEST, "review_counts": REVIEW, "decisions_apply": DECISIONS, "suspicion_queue": SUSPICION, "manifest_antijoin": ANTI,

@@ -42,6 +42,13 @@ from k group by 1, 2, 3
 """
 
 
+def norm_keys_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``norm_keys`` over the names in any script; SQL has no NFKC, so there is no oracle."""
+    k = t.norm_key(F.col("name"))
+    d = table(spark, sf_dir, "tagging_gt_v1").where("name is not null").select("region", k.alias("key"))
+    return d.select("region", "key", F.size(t.bigrams(F.col("key"))).alias("grams")).groupBy("region", "key", "grams").agg(F.count(F.lit(1)).alias("records"))
+
+
 def _engines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Part names as lines read by three engines with fixed corruptions."""
     p = table(spark, sf_dir, "part").select("p_partkey", F.col("p_name").alias("truth"))
@@ -217,7 +224,7 @@ select image_name, regexp_replace(image_name, '__crop_[0-9]+$', '') as photo, ca
 from (select distinct image_name from tagging_gt_v1)
 """
 
-QUERIES = {f.__name__: f for f in (split_lines_stats, norm_keys, oracle_engine, vote_majority, pairs_score, cer_rollup, infix_distance, lcs_words, line_exact_multiset, rule_tag, canon_tag, json_parse_fallback, charset, admission_reasons, crop_keys)}
+QUERIES = {f.__name__: f for f in (split_lines_stats, norm_keys, norm_keys_all, oracle_engine, vote_majority, pairs_score, cer_rollup, infix_distance, lcs_words, line_exact_multiset, rule_tag, canon_tag, json_parse_fallback, charset, admission_reasons, crop_keys)}
 ORACLES = {
     "split_lines_stats": SPLIT_LINES_STATS, "norm_keys": NORM_KEYS, "oracle_engine": ORACLE_ENGINE, "vote_majority": VOTE_MAJORITY, "pairs_score": PAIRS_SCORE,
     "cer_rollup": CER_ROLLUP, "infix_distance": INFIX_DISTANCE, "line_exact_multiset": LINE_EXACT, "rule_tag": RULE_TAG, "canon_tag": CANON_TAG,

@@ -185,3 +185,21 @@ def test_streaming(spark, tmp_path):
     stream = spark.readStream.format("json").schema("key string, o int, v string").option("maxFilesPerTrigger", 1).load(src)
     ingest.maintain_latest(stream, "key", "o", str(tmp_path / "state"), str(tmp_path / "cp2")).awaitTermination()
     assert {(r["key"], r["v"]) for r in spark.read.parquet(str(tmp_path / "state/1")).collect()} == {("k", "b"), ("j", "new")}
+
+
+def test_keys_of_every_script(spark, tmp_path):
+    import re
+    import unicodedata
+    from collections import Counter
+
+    names = ["Ｃａｆé 12", "가나다", "雲山 Bar", "Bar", "bar", None, "", "가나 다"]
+    spark.createDataFrame([("r", n) for n in names], "region string, name string").write.parquet(f"{tmp_path}/tagging_gt_v1.parquet")
+    texts = ["가나 가나 Ｂar bar BAR", "가나 雲山 ok", None, "ok ok!"]
+    spark.createDataFrame([(x,) for x in texts], "text string").write.parquet(f"{tmp_path}/documents.parquet")
+    key = lambda x: re.sub("[^0-9a-z가-힣]", "", unicodedata.normalize("NFKC", x).lower())
+    want = Counter(key(n) for n in names if n is not None)
+    got = registry.queries()["norm_keys_all"](spark, str(tmp_path)).collect()
+    assert {r["key"]: r["records"] for r in got} == want and len(got) == len(want)
+    uses = Counter(key(w) for x in texts if x for w in x.split())
+    got = {r["key"]: r["freq"] for r in registry.queries()["vocab_min_freq_all"](spark, str(tmp_path)).collect()}
+    assert got == {k: n for k, n in uses.items() if len(k) >= 2 and n >= 3} and set(got) == {"가나", "bar", "ok"}
