@@ -30,6 +30,13 @@ def norm_key(c: Column, ascii_only: bool = False) -> Column:
     return F.regexp_replace(F.lower(c if ascii_only else nfkc(c)), "[^0-9a-z가-힣]", "")
 
 
+def split_name(c: Column) -> Column:
+    """``train``, ``val`` or ``test`` for any of their spellings, else null."""
+    key = F.regexp_replace(F.lower(c), r"[^a-z]", "")
+    names = {"train": ("train", "training", "trn", "tr"), "val": ("val", "valid", "validation", "dev", "vld"), "test": ("test", "testing", "tst")}
+    return F.coalesce(*[F.when(key.isin(*spellings), F.lit(name)) for name, spellings in names.items()])
+
+
 def base_norm(c: Column, english_only: bool = False, ascii_only: bool = False) -> Column:
     """Scoring form: NFKC, zero-width space dropped, lower case, phones blanked, only key characters and blanks kept."""
     t = F.lower(F.replace(c if ascii_only else nfkc(c), F.lit("\u200b"), F.lit("")))

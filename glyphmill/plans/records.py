@@ -226,24 +226,42 @@ def repeatability(spark: SparkSession, sf_dir: str) -> DataFrame:
 REPEAT = "with r as (select image_name, first(tag order by mark_id) as a, last(tag order by mark_id) as b from tagging_marks where image_name is not null group by 1) select count(*) as images, count(*) filter (a is not distinct from b) as identical, count(*) filter (a is null and b is not null) as gained, count(*) filter (a is not null and b is null) as lost from r"
 
 
-def split_intersections(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Texts that stand in more than one split, by the splits they stand in."""
-    c = table(spark, sf_dir, "crop_manifest").where("text is not null and split in ('train', 'val', 'test')").select("text", "split").distinct()
+def _intersections(manifest: DataFrame) -> DataFrame:
+    c = manifest.where("text is not null and split in ('train', 'val', 'test')").select("text", "split").distinct()
     s = c.groupBy("text").agg(F.array_join(F.sort_array(F.collect_set("split")), "+").alias("splits"))
     return s.groupBy("splits").agg(F.count(F.lit(1)).alias("texts"))
 
 
+def split_intersections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts that stand in more than one split, by the splits they stand in."""
+    return _intersections(table(spark, sf_dir, "crop_manifest"))
+
+
+def split_intersections_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``split_intersections`` with every spelling of the splits."""
+    return _intersections(table(spark, sf_dir, "crop_manifest").withColumn("split", t.split_name(F.col("split"))))
+
+
 SPLITS = "select splits, count(*) as texts from (select text, string_agg(split, '+' order by split) as splits from (select distinct text, split from crop_manifest where text is not null and split in ('train', 'val', 'test')) group by 1) group by 1"
 
 
-def seen_unseen(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Evaluation crops by whether their text stands verbatim in training."""
-    c = table(spark, sf_dir, "crop_manifest").where("text is not null").select("annotation_id", "text", "split").distinct()
+def _seen(manifest: DataFrame) -> DataFrame:
+    c = manifest.where("text is not null").select("annotation_id", "text", "split").distinct()
     seen = c.where("split = 'train'").select("text", F.lit(True).alias("seen")).distinct()
     e = c.where("split in ('val', 'test')").join(seen, "text", "left")
     return e.groupBy("split", F.coalesce("seen", F.lit(False)).alias("seen")).agg(F.count(F.lit(1)).alias("crops"), F.count_distinct("text").alias("texts"))
 
 
+def seen_unseen(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Evaluation crops by whether their text stands verbatim in training."""
+    return _seen(table(spark, sf_dir, "crop_manifest"))
+
+
+def seen_unseen_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``seen_unseen`` with every spelling of the splits."""
+    return _seen(table(spark, sf_dir, "crop_manifest").withColumn("split", t.split_name(F.col("split"))))
+
+
 SEEN = "with c as (select distinct annotation_id, text, split from crop_manifest where text is not null) select split, (text in (select text from c where split = 'train')) as seen, count(*) as crops, count(distinct text) as texts from c where split in ('val', 'test') group by 1, 2"
 
 
@@ -282,7 +300,7 @@ def bootstrap_ci(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stats.paired_bootstrap(p.select("photo", F.col("tp").alias("num_a"), F.col("truth").alias("den_a"), F.col("tp").alias("num_b"), (F.col("tp") + F.col("fp")).alias("den_b")), "photo")
 
 
-QUERIES = {f.__name__: f for f in (retrieve_lexical_topk, hint_lines, dict_merge_ranked, vocab_min_freq, vocab_min_freq_all, coverage_by_source, retrieve_dense_topk, rrf_fusion, hit_at_k, log_latest, review_counts, decisions_apply, suspicion_queue, manifest_antijoin, cascade_counts, tag_eval_strata, repeatability, split_intersections, seen_unseen, share_components, fold_leak_audit, per_photo_ratios, bootstrap_ci)}
+QUERIES = {f.__name__: f for f in (retrieve_lexical_topk, hint_lines, dict_merge_ranked, vocab_min_freq, vocab_min_freq_all, coverage_by_source, retrieve_dense_topk, rrf_fusion, hit_at_k, log_latest, review_counts, decisions_apply, suspicion_queue, manifest_antijoin, cascade_counts, tag_eval_strata, repeatability, split_intersections, split_intersections_all, seen_unseen, seen_unseen_all, share_components, fold_leak_audit, per_photo_ratios, bootstrap_ci)}
 ORACLES = {
     "retrieve_lexical_topk": RETRIEVE, "hint_lines": HINTS, "dict_merge_ranked": DICT_MERGE, "vocab_min_freq": VOCAB, "coverage_by_source": COVERAGE, "retrieve_dense_topk": DENSE,
     "rrf_fusion": RRF, "hit_at_k": HIT, "log_latest": LOG_LATEST, "review_counts": REVIEW, "decisions_apply": DECISIONS, "suspicion_queue": SUSPICION, "manifest_antijoin": ANTI,

@@ -203,3 +203,12 @@ def test_keys_of_every_script(spark, tmp_path):
     uses = Counter(key(w) for x in texts if x for w in x.split())
     got = {r["key"]: r["freq"] for r in registry.queries()["vocab_min_freq_all"](spark, str(tmp_path)).collect()}
     assert got == {k: n for k, n in uses.items() if len(k) >= 2 and n >= 3} and set(got) == {"가나", "bar", "ok"}
+
+
+def test_splits_in_any_spelling(spark, tmp_path):
+    rows = [("1", "a", "Training"), ("2", "a", " VAL"), ("3", "b", "tst"), ("4", "c", "trn"), ("5", "c", "test"), ("6", None, "train"), ("7", "b", "other"), ("8", "d", None)]
+    spark.createDataFrame(rows, "annotation_id string, text string, split string").write.parquet(f"{tmp_path}/crop_manifest.parquet")
+    q = registry.queries()
+    assert {tuple(r) for r in q["seen_unseen_all"](spark, str(tmp_path)).select("split", "seen", "crops", "texts").collect()} == {("val", True, 1, 1), ("test", False, 1, 1), ("test", True, 1, 1)}
+    assert {tuple(r) for r in q["split_intersections_all"](spark, str(tmp_path)).select("splits", "texts").collect()} == {("train+val", 1), ("test", 1), ("test+train", 1)}
+    assert {tuple(r) for r in q["split_intersections"](spark, str(tmp_path)).select("splits", "texts").collect()} == {("test", 1)}
