@@ -4,6 +4,7 @@ import itertools
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from glyphmill.llm import canonical_values, cross_split, grouped_splits, lookalikes, mixing, name_variants, packing, template_residue
 
@@ -54,27 +55,49 @@ def test_p1_subset_sums():
     assert grouped_splits.choose_counts({3: 1}, []) == {}
 
 
+def padded(spark, rows):
+    """Rows with a corpus around them that shows which words are common."""
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choice("bdfgklmnprstv") + rng.choice("aeiou") for _ in range(4)) + rng.choice("xzq")
+    ko = lambda: "".join(rng.choice("가나다라마바사아자차카타파하거너더러머버고노도로모보") for _ in range(4))
+    more = [(f"z{k}{i}", f"{word()} {word()} {k}") for k in ("Kitchen", "Kitch.", "Margaret", "Maggie", "Coffee", "Cafe", "Hair", "Pizza") for i in range(14)]
+    more += [(f"z{k}{i}", f"{ko()} {ko()} {k}") for k in ("식당", "한식당", "카페") for i in range(14)]
+    return spark.createDataFrame([(*r, "k", "n") for r in [*rows, *more]], "image_name string, name string, node string, kind string")
+
+
 def test_p2_names(spark):
     rows = [
         ("a1", "Margaret Tirenigix Babrabradar Kitchen"), ("a2", "MAGGIE TIRENIGIX + BABRABRADAR KITCH."), ("a3", "Babrabradar, Tirenigx Kitchen"), ("a4", "Tireni. Babrabradar"),
         ("b1", "Margaret Tirenigix Wopulador Kitchen"), ("c1", "가나다라 마바사아 식당"), ("c2", "가나다라마바사아식당"), ("c3", "한식당 마바사아 가나타라"), ("d1", "가나다라 자차카파 식당"),
         ("e1", None), ("e2", " "), ("f1", "Cafe"), ("f2", "cafe"), ("g1", "Жалюзи Вяндо"), ("a1", "Margaret Tirenigix Babrabradar Kitchen"), ("h1", "x" * 20000), ("h2", "가나다" * 3000), ("h3", "가나다" * 3000 + "라"),
     ]
-    df = spark.createDataFrame([(*r, "k", "n") for r in rows], "image_name string, name string, node string, kind string")
+    df = padded(spark, rows)
     got = {tuple(r) for r in name_variants.same_business_pairs(df).collect()}
     want = set(itertools.combinations(["a1", "a2", "a3", "a4"], 2)) | set(itertools.combinations(["c1", "c2", "c3"], 2)) | {("f1", "f2"), ("h2", "h3")}
     assert got == want
     assert name_variants.same_business_pairs(df.limit(0)).count() == 0
 
 
-def test_p2_distance():
+def brute_slips(a, b):
+    """Edits with a swap of neighbours as one, each letter touched once."""
+    d = {(i, 0): i for i in range(len(a) + 1)} | {(0, j): j for j in range(len(b) + 1)}
+    for i, x in enumerate(a, 1):
+        for j, y in enumerate(b, 1):
+            d[i, j] = min(d[i - 1, j] + 1, d[i, j - 1] + 1, d[i - 1, j - 1] + (x != y))
+            if i > 1 and j > 1 and x == b[j - 2] and a[i - 2] == y:
+                d[i, j] = min(d[i, j], d[i - 2, j - 2] + 1)
+    return d[len(a), len(b)]
+
+
+def test_p2_slips(spark):
+    """All pairs within the slips are taken, and none with more edits than swaps could stand for."""
     rng = random.Random(1)
-    for _ in range(400):
-        a, b = ("".join(rng.choice("abc") for _ in range(rng.randint(0, 7))) for _ in "ab")
-        d = name_variants.distance(a, b, 3)
-        e = brute_edits(a, b)
-        assert d <= e and (d == min(e, 4) or d < e)
-    assert name_variants.distance("abcd", "acbd", 2) == 1
+    pairs = [tuple("".join(rng.choice("abc") for _ in range(rng.randint(0, 7))) for _ in "ab") for _ in range(400)] + [("abcd", "acbd"), ("abcdefgh", "badcefgh")]
+    df = spark.createDataFrame(pairs, "a string, b string")
+    for most in (1, 2):
+        got = {(r["a"], r["b"]) for r in df.where(name_variants.within(F.col("a"), F.col("b"), most)).collect()}
+        assert {p for p in pairs if brute_slips(*p) <= most} <= got
+        assert all(brute_edits(*p) <= 2 * most for p in got)
 
 
 def test_p3_forms(spark):
@@ -199,7 +222,8 @@ def test_p9_short_pieces(spark):
     assert got[1000] == got[1001] == 1
 
 
-def test_p2_every_accepted_pair_is_a_candidate(spark):
+def test_p2_cosine_join_brute_force(spark):
+    """The index loses no pair: short and long strings of all kinds against a comparison of all pairs."""
     rng = random.Random(7)
 
     def slip(s, letters):
@@ -207,21 +231,30 @@ def test_p2_every_accepted_pair_is_a_candidate(spark):
         return rng.choice([s[:i] + s[i + 1 :], s[:i] + rng.choice(letters) + s[i:], s[:i] + rng.choice(letters) + s[i + 1 :], s[:i] + s[i + 1 : i + 2] + s[i] + s[i + 2 :]])
 
     ko, la = "가나다라마바사아자차카타파하거너더러머버", "abcdefghiklmnoprstuv"
-    rows = {}
-    for n in [5, 6, 7, 8, 9, 12, 13, 14, 15, 16, 20, 40] * 3:
+    rows = set()
+    for n in [2, 3, 4] * 8:
         own = "".join(rng.choice(ko) for _ in range(n))
-        for y in [own] + [slip(slip(own, ko), ko) for _ in range(3)] + [slip(own, ko), slip(own[n // 2 :] + own[: n // 2], ko)]:
-            rows["ko:" + y] = ("ko", [y])
-    for _ in range(40):
-        own = ["".join(rng.choice(la) for _ in range(rng.choice([4, 6, 7, 8, 11, 14, 17]))) for _ in range(rng.choice([2, 2, 3, 15]))]
-        for _ in range(5):
-            p = [rng.choice([w, w[: rng.randint(3, 14)] + ".", slip(w[:6], la) + ".", slip(w, la), slip(slip(w, la), la)]) for w in own]
-            p = sorted(set(rng.sample(p, max(2, len(p) - rng.randint(0, 2)))))
-            rows["la:" + " ".join(p)] = ("la", p)
-    want = {(a, b) for a, b in itertools.combinations(sorted(rows), 2) if rows[a][0] == rows[b][0] and name_variants.same_core(rows[a][0], rows[a][1], rows[b][1])}
-    nodes = spark.createDataFrame([(k, *v) for k, v in rows.items()], "node string, kind string, parts array<string>")
-    got = [(r["a"], r["b"]) for r in name_variants.candidate_pairs(nodes).collect()]
-    assert len(want) > 200 and want <= set(got) and len(got) == len(set(got))
+        rows |= {("one", x) for x in (own, slip(own, ko) or own)}
+    for n in [5, 6, 7, 8, 9, 12, 13, 16, 20, 40, 60] * 6:
+        own = "".join(rng.choice(ko) for _ in range(n))
+        rows |= {("ko", x) for x in (own, slip(own, ko), slip(slip(own, ko), ko), slip(own[n // 2 :] + own[: n // 2], ko))}
+    for n in [4, 5, 6, 7, 8, 11, 14, 17, 70] * 12:
+        own = "".join(rng.choice(la) for _ in range(n))
+        rows |= {("la", x) for x in (own, own[: rng.randint(3, 14)] + ".", slip(own[:6], la) + ".", slip(own, la), slip(slip(own, la), la))} | {("one", own), ("one", slip(own, la))}
+    df = spark.createDataFrame(sorted(rows), "kind string, s string").cache()
+    got = {(r["kind"], r["a"], r["b"]): r["sim"] for r in name_variants.cosine_join(df).collect()}
+    v = name_variants.vectors(df).cache()
+    mine = lambda x: v.select("kind", F.col("s").alias(x), F.col("v").alias(f"v{x}"), F.col("norm").alias(f"n{x}"))
+    every = mine("a").join(mine("b"), "kind").where("a <> b").where(name_variants.close(F.col("kind"), F.col("a"), F.col("b")))
+    want = {}
+    for r in every.collect():
+        a, b = {x["g"]: x["w"] for x in r["va"]}, {x["g"]: x["w"] for x in r["vb"]}
+        sim = sum(w * b[g] for g, w in a.items() if g in b) / r["na"] / r["nb"]
+        if abs(sim - name_variants.COSINE) > 1e-9 and sim >= name_variants.COSINE:
+            want[r["kind"], r["a"], r["b"]] = sim
+    assert len(want) > 300 and {k for k, _, _ in want} == {"ko", "la", "one"} and set(want) == set(got)
+    assert all(abs(got[k] - x) < 1e-9 for k, x in want.items())
+    assert max(len(b) for _, b, _ in want) > 48
 
 
 def test_p2_one_word_and_short_names(spark):
@@ -229,8 +262,7 @@ def test_p2_one_word_and_short_names(spark):
         ("a1", "Starbucks Coffee"), ("a2", "Starbuks Coffee"), ("b1", "스타벅스 카페"), ("b2", "스타박스"), ("c1", "Kim Hair"), ("c2", "Kim Pizza"), ("c3", "Kin Hair"), ("c4", "KIM, HAIR"),
         ("d1", "삼미 식당"), ("d2", "삼마 식당"), ("e1", "Starling Coffee"), ("f1", "Babrabradar"), ("f2", "Babrabradar Tirenigix"),
     ]
-    df = spark.createDataFrame([(*r, "k", "n") for r in rows], "image_name string, name string, node string, kind string")
-    got = {tuple(r) for r in name_variants.same_business_pairs(df).collect()}
+    got = {tuple(r) for r in name_variants.same_business_pairs(padded(spark, rows)).collect()}
     assert got == {("a1", "a2"), ("b1", "b2"), ("c1", "c4")}
 
 
