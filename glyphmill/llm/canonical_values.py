@@ -4,133 +4,126 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
-#: Other words for entries of the tag list.
-OTHER_WORDS = {
-    "amenity=restaurant": "eatery, diner, dining room, bistro, 식당, 밥집, 한식당",
-    "amenity=cafe": "coffee shop, coffee house, tea room, 커피숍, 다방, 찻집",
-    "amenity=fast_food": "burger joint, take-out counter, takeaway, snack bar, 분식집",
-    "amenity=bar": "pub, tavern, beer house, 호프집, 주점, 포차",
-    "amenity=pharmacy": "chemist, drugstore, apothecary, 약방",
-    "amenity=clinic": "doctor's office, walk-in doctor, medical office, 병원",
-    "amenity=dentist": "tooth doctor, orthodontics, dental office, 치과의원",
-    "amenity=veterinary": "vet, animal doctor, animal hospital",
-    "amenity=bank": "credit union, savings and loans, savings bank",
-    "amenity=post_office": "mail counter, parcel counter",
-    "amenity=school": "cram school, tutoring, academy, 교습소",
-    "amenity=kindergarten": "nursery school, preschool, daycare, 어린이집",
-    "amenity=library": "reading room, book lending",
-    "amenity=parking": "car park, parking lot, garage for parking",
-    "amenity=fuel": "gas station, petrol pump, petrol station",
-    "amenity=karaoke_box": "singing room, coin singing, karaoke, 코인노래방",
-    "amenity=internet_cafe": "pc room, computer room, pc bang, pc방",
-    "amenity=ice_cream": "gelato, frozen yogurt",
-    "amenity=car_rental": "rent a car, rent-car, hire cars, car hire",
-    "amenity=cinema": "movie theater, movie theatre, picture house, 극장",
-    "shop=bakery": "boulangerie, patisserie, bread shop, 제과점",
-    "shop=convenience": "bodega, minimart, corner shop",
-    "shop=supermarket": "big grocery, grocery hall, food market, 마트",
-    "shop=clothes": "garments, fashion store, menswear, apparel, 의류",
-    "shop=shoes": "footwear, sneaker store, shoe store",
-    "shop=hairdresser": "barber, hair salon, 이발소, 헤어샵",
-    "shop=beauty": "nail salon, skin care, waxing, 네일샵, 피부관리",
-    "shop=optician": "eyewear, eyeglasses, optical shop, 안경",
-    "shop=jewelry": "jeweller, jeweler, goldsmith, gold and rings, 금은방, 보석",
-    "shop=laundry": "dry cleaner, coin wash, washing salon, 빨래방",
-    "shop=stationery": "office supplies, pens and paper, paper goods, 문방구",
-    "shop=books": "bookstore, bookseller, 책방",
-    "shop=florist": "flower shop, bouquets, 꽃가게",
-    "shop=furniture": "furnishings, sofas and beds, home furniture",
-    "shop=hardware": "ironmonger, tools and screws, tool supply",
-    "shop=mobile_phone": "cell phones, handset store, phone shop, 핸드폰",
-    "shop=car_repair": "auto repair, auto mechanic, auto body, 정비소",
-    "shop=bicycle": "bike shop, cycle store",
-    "shop=pet": "puppies and kittens, animal market, 애완동물",
-    "shop=health_food": "vitamins, supplements, ginseng store, 건강원",
-    "shop=butcher": "meat shop, halal meat, meat market",
-    "shop=toys": "playthings, dolls and games, toy store, 완구",
-    "office=estate_agent": "realtor, property agent, house broker, 공인중개사, 복덕방",
-    "office=company": "firm, business office, 회사",
-    "office=lawyer": "attorney, legal services, law office, 변호사",
-    "leisure=fitness_centre": "gym, crossfit, workout studio, fitness, 휘트니스",
-    "tourism=hotel": "motel, guest rooms, inn, 모텔, 여관",
-    "leisure=billiards": "pool hall, snooker, billiard hall",
-}
+from glyphmill.operators.lineage import cut
 
 #: Lengths from which one and two slips are let pass; shorter words must match in full.
 ONE_SLIP, TWO_SLIPS = 4, 6
+#: A word of a name stands for a tag if it occurs with known tags at least LEAST_WORD times, SURE_WORD of them with this tag.
+LEAST_WORD, SURE_WORD = 5, 0.6
+#: A value stands for a tag if at least LEAST_VOTES of its records have names that do, and SURE_VOTES of all that vote.
+LEAST_VOTES, SURE_VOTES = 4, 0.5
 
-_SQL = r"""
-with refs as (
-  select distinct tag, translate(lower(r), ' _-.''', '') as r from (
-    select tag, explode(array(substring_index(tag, '=', -1), label, label_ko)) as r from {vocabulary} where tag is not null
-    union all
-    select v.tag, o.r from {vocabulary} v join {words} o on v.tag = o.tag
-  ) where r is not null and length(translate(lower(r), ' _-.''', '')) > 0
-), ref as (
-  select tag, r, length(r) as n,
-         case when length(r) >= {two} then 4 when length(r) >= {one} then 2 else 0 end as k
-  from refs
-), segment as (  -- k + 1 pieces of even length: k single-character edits leave one of them whole
-  select tag, r, n, k, i, div(i * n, k + 1) + 1 as at, substring(r, div(i * n, k + 1) + 1, div((i + 1) * n, k + 1) - div(i * n, k + 1)) as seg
-  from ref lateral view explode(sequence(0, k)) as i
-), typed as (
+#: The distinct typed values and how each may be read: whole, behind the key, without an article, without "shop"; squeezed,
+#: and without a plural s. ``own`` is the reading behind the key.
+_READINGS = r"""
+with typed as (
   select raw, plain,
          regexp_extract(plain, concat('^(?:', keys, ') ?(?:[^\\p{{L}}\\p{{N}}]+)(.*)$'), 1) as value_part
   from (
     select raw, regexp_replace(regexp_replace(translate(lower(raw), '＝_', '= '), '\\s+', ' '), '^[^\\p{{L}}\\p{{N}}]+|[^\\p{{L}}\\p{{N}}]+$', '') as plain
     from (select distinct {value} as raw from {records} where {value} is not null and trim({value}) <> '')
   ) cross join (select coalesce(array_join(collect_set(substring_index(tag, '=', 1)), '|'), '') as keys from {vocabulary})
-), reading as (  -- a typed value whole, behind the key, without an article, without "shop"; squeezed, and without a plural s
-  select distinct raw, explode(array(s, regexp_replace(s, '(?<=[a-z]{{3}})s$', ''))) as s from (
-  select raw, translate(s, ' _-.''', '') as s from (
-    select raw, explode(array(plain, value_part,
+)
+select raw, translate(if(value_part <> '', value_part, plain), ' _-.''', '') as own,
+  array_distinct(filter(flatten(transform(array(plain, value_part,
       regexp_replace(plain, '^(an?|the) ', ''), regexp_replace(value_part, '^(an?|the) ', ''),
-      regexp_replace(plain, ' (shop|store)$', ''), regexp_replace(value_part, ' (shop|store)$', ''))) as s
-    from typed)) where s <> ''
+      regexp_replace(plain, ' (shop|store)$', ''), regexp_replace(value_part, ' (shop|store)$', '')),
+    s -> array(translate(s, ' _-.''', ''), regexp_replace(translate(s, ' _-.''', ''), '(?<=[a-z]{{3}})s$', '')))), s -> s <> '')) as readings
+from typed
+"""
+
+#: The reference strings of the list: the value of the tag and its labels.
+_LISTED = r"""
+select distinct tag, translate(lower(r), ' _-.''', '') as r
+from (select tag, explode(array(substring_index(tag, '=', -1), label, label_ko)) as r from {vocabulary} where tag is not null)
+where length(translate(lower(r), ' _-.''', '')) > 0
+"""
+
+#: Other words for tags, learned from all records: the words of a name that go with one known tag vote for it, and a value
+#: the list does not spell takes the tag that the names of its records vote for.
+_LEARNED = r"""
+with known as (
+  select raw, min_by(tag, struct(-length(r), tag)) as tag from (select raw, explode(readings) as s from {readings}) join {listed} on s = r group by raw
+), word as (
+  select {key} as id, {value} as raw, explode(array_distinct(regexp_extract_all(lower({name}), '([\\p{{L}}\\p{{N}}]{{2,}})', 1))) as w
+  from (select distinct {key}, {value}, {name} from {records} where trim({value}) <> '' and {name} is not null)
+), uses as (
+  select w, tag, count(*) as n from word join known using (raw) group by w, tag
+), telling as (
+  select w, max_by(tag, struct(n, tag)) as tag from uses group by w having max(n) >= {least_word} and max(n) >= {sure_word} * sum(n)
+), vote as (
+  select distinct id, own, tag from word join telling using (w) join {readings} using (raw) left anti join known using (raw)
+)
+select max_by(tag, struct(n, tag)) as tag, own as r from (select own, tag, count(*) as n from vote where own <> '' group by own, tag)
+group by own having max(n) >= {least_votes} and max(n) > {sure_votes} * sum(n)
+"""
+
+_MAP = r"""
+with ref as (
+  select tag, r, length(r) as n, case when length(r) >= {two} then 4 when length(r) >= {one} then 2 else 0 end as k from {refs}
+), segment as (  -- k + 1 pieces of even length: k single-character edits leave one of them whole, at most k places off
+  select tag, r, k, explode(sequence(greatest(at - k, 1), at + k)) as at, n, seg from (
+    select tag, r, k, at, explode(sequence(n - k, n + k)) as n, seg from (
+      select tag, r, n, k, div(i * n, k + 1) + 1 as at, substring(r, div(i * n, k + 1) + 1, div((i + 1) * n, k + 1) - div(i * n, k + 1)) as seg
+      from ref lateral view explode(sequence(0, k)) as i))
+), reading as (
+  select raw, explode(readings) as s from {readings}
 ), named as (  -- readings that are a reference string to the letter need no search
   select raw, min_by(tag, struct(-length(s), tag)) as tag from reading join ref on s = r group by raw
 ), spoken as (
   select /*+ REPARTITION({tasks}, s) */ raw, s from reading left anti join named using (raw)
 ), probe as (
-  select s, length(s) as n, w, at, substring(s, at, w) as seg
+  select s, length(s) as n, at, substring(s, at, w) as seg
   from (select distinct s from spoken where length(s) <= (select coalesce(max(n + k), 0) from ref)) x
   join (select distinct length(seg) as w from segment) on length(s) >= w
   lateral view explode(sequence(1, length(s) - w + 1)) as at
 ), candidate as (
-  select distinct p.s, g.tag, g.r, g.k, levenshtein(p.s, g.r, g.k) as edits
-  from probe p join segment g on p.seg = g.seg and abs(p.at - g.at) <= g.k and abs(p.n - g.n) <= g.k
-  where levenshtein(p.s, g.r, g.k) >= 0
+  select distinct s, tag, r, k from probe join segment using (seg, at, n)
 ), measured as (  -- bag: letters that one side has more of than the other, so a swapped pair costs 2 edits and no letter
   select s, tag, k, edits, greatest(
     aggregate(array_distinct(split(s, '')), 0, (a, c) -> a + greatest(length(s) - length(replace(s, c, '')) - length(r) + length(replace(r, c, '')), 0)),
     aggregate(array_distinct(split(r, '')), 0, (a, c) -> a + greatest(length(r) - length(replace(r, c, '')) - length(s) + length(replace(s, c, '')), 0))) as bag
-  from candidate
+  from (select s, tag, r, k, levenshtein(s, r, k) as edits from candidate) where edits >= 0
 ), kept as (
   select s, tag, edits from measured
   where edits <= k div 2 or (edits <= k div 2 + 1 and bag <= k div 2 - 1) or (edits <= k and bag <= k div 2 - 2)
 ), mapped as (
   select raw, min_by(tag, struct(edits, -length(s), tag)) as tag from spoken join kept using (s) group by raw
   union all select raw, tag from named
+), literal as (
+  select raw, raw as tag from {readings} left semi join {vocabulary} v on raw = v.tag
 )
-select t.raw as typed_value, coalesce(case when v.tag is not null then v.tag end, m.tag, 'unmatched') as mapped_tag
-from typed t left join (select distinct tag from {vocabulary}) v on t.raw = v.tag left join mapped m on t.raw = m.raw
+select raw as typed_value, tag as mapped_tag from literal
+union all select raw, tag from mapped left anti join literal using (raw)
+union all select raw, 'unmatched' from {readings} left anti join mapped using (raw) left anti join literal using (raw)
 """
 
 
-def value_map(records: DataFrame, vocabulary: DataFrame, value: str = "tag") -> DataFrame:
+def value_map(records: DataFrame, vocabulary: DataFrame, value: str = "tag", key: str = "image_name", name: str = "name") -> DataFrame:
     """``(typed_value, mapped_tag)``: one row per distinct non-blank value of ``value``.
 
-    A value is mapped to the entry of ``vocabulary (tag, label, label_ko)`` whose value, label or other word it spells,
-    letter case, blanks, brackets, articles and key set aside, with at most one slip from four characters on and two
-    from six on (a slip: a character added, lost, replaced, or two neighbours swapped). The reference strings are cut
-    into k+1 segments that are joined for equality with the positional substrings of the typed values; candidates are
-    verified with ``levenshtein``. What no entry takes is ``unmatched``. On a tie the fewest edits, then the longest
-    reading, then the first tag win. Null and blank values are left out; an empty vocabulary leaves all unmatched.
-    Only distinct values are compared, so a value held by a third of all rows costs one comparison.
+    A value is mapped to the entry of ``vocabulary (tag, label, label_ko)`` whose value or label it spells, letter case,
+    blanks, brackets, articles and key set aside, with at most one slip from four characters on and two from six on (a
+    slip: a character added, lost, replaced, or two neighbours swapped). The reference strings are cut into k+1 segments
+    that are joined for equality with the positional substrings of the typed values (segment, place and length are the
+    key); candidates are verified with ``levenshtein``. What the anti-join leaves is ``unmatched``. On a tie the fewest
+    edits, then the longest reading, then the first tag win. Null and blank values are left out; an empty vocabulary
+    leaves all unmatched.
+
+    If the records have a ``name``, other words for a tag are learned from them: the words of a name that go with one
+    known tag vote for it, and a value of at least LEAST_VOTES voting records takes the tag that most of them name. A word
+    learned so is a reference string like the others, slips of it included. Only distinct values are compared, so a value
+    held by a third of all rows costs one comparison.
     """
     spark = records.sparkSession
-    words = spark.createDataFrame([(t, w.strip()) for t, ws in OTHER_WORDS.items() for w in ws.split(",")], "tag string, r string")
-    return spark.sql(_SQL.replace("{value}", f"`{value}`"), records=records, vocabulary=vocabulary, words=words, one=ONE_SLIP, two=TWO_SLIPS, tasks=max(8, spark.sparkContext.defaultParallelism))
+    named = lambda text: text.replace("{value}", f"`{value}`").replace("{key}", f"`{key}`").replace("{name}", f"`{name}`")
+    readings = cut(spark.sql(named(_READINGS), records=records, vocabulary=vocabulary))
+    listed = cut(spark.sql(_LISTED, vocabulary=vocabulary))
+    refs = listed
+    if {key, name} <= set(records.columns):
+        more = spark.sql(named(_LEARNED), records=records, readings=readings, listed=listed, least_word=LEAST_WORD, sure_word=SURE_WORD, least_votes=LEAST_VOTES, sure_votes=SURE_VOTES)
+        refs = cut(listed.unionByName(more).distinct())
+    return spark.sql(_MAP, vocabulary=vocabulary, refs=refs, readings=readings, one=ONE_SLIP, two=TWO_SLIPS, tasks=max(8, spark.sparkContext.defaultParallelism))
 
 
 def mapped_records(records: DataFrame, vocabulary: DataFrame, key: str = "image_name", value: str = "tag") -> DataFrame:
@@ -142,7 +135,7 @@ def mapped_records(records: DataFrame, vocabulary: DataFrame, key: str = "image_
     where r.`{value}` <> 'unknown'
     """
     sql = sql.replace("{key}", key).replace("{value}", value)
-    return records.sparkSession.sql(sql, records=records, m=value_map(records, vocabulary, value), vocabulary=vocabulary)
+    return records.sparkSession.sql(sql, records=records, m=value_map(records, vocabulary, value, key), vocabulary=vocabulary)
 
 
 def unmatched_values(records: DataFrame, vocabulary: DataFrame, value: str = "tag") -> DataFrame:

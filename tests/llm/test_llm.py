@@ -140,7 +140,7 @@ def test_p6_values(spark):
     voc = spark.createDataFrame([("amenity=cafe", "Cafe", "카페"), ("amenity=restaurant", "Restaurant", "음식점"), ("amenity=bar", "Bar", "술집"), ("shop=hardware", "Hardware", None)], "tag string, label string, label_ko string")
     cases = {
         "Cafe": "amenity=cafe", "amenity：cafe": "amenity=cafe", "shop = RESTAURANT": "amenity=restaurant", "rsetaurnat": "amenity=restaurant", "a bar": "amenity=bar", "bars": "amenity=bar", "점집": "unmatched", "술집 ": "amenity=bar",
-        "tea_room": "amenity=cafe", "zzz": "unmatched", "x" * 100000: "unmatched", "[음식점]": "amenity=restaurant", "shop=aquarium": "unmatched", "haredware": "shop=hardware",
+        "tea_room": "unmatched", "zzz": "unmatched", "x" * 100000: "unmatched", "[음식점]": "amenity=restaurant", "shop=aquarium": "unmatched", "haredware": "shop=hardware",
     }
     rows = [(f"i{k}", v, "m") for k, v in enumerate(cases)] + [("n", None, "m"), ("b", " ", "m"), ("u", "unknown", "m"), ("l", "amenity=bar", "m"), ("i0", "Cafe", "m")]
     df = spark.createDataFrame(rows, "image_name string, tag string, mapped_tag string")
@@ -148,7 +148,17 @@ def test_p6_values(spark):
     assert got == {f"i{k}": v for k, v in enumerate(cases.values())}
     assert canonical_values.mapped_records(df.limit(0), voc).count() == 0
     assert {r[1] for r in canonical_values.mapped_records(df.where("image_name = 'i0'"), voc.limit(0)).collect()} == {"unmatched"}
-    assert canonical_values.unmatched_values(df, voc).count() == 4
+    assert canonical_values.unmatched_values(df, voc).count() == 5
+
+
+def test_p6_words_learned_from_names(spark):
+    """A word the list lacks means the tag that the names of its records vote for; mixed names make no word."""
+    voc = spark.createDataFrame([("amenity=cafe", "Cafe", None), ("amenity=bar", "Bar", None)], "tag string, label string, label_ko string")
+    rows = [(f"a{i}", "amenity=cafe", f"{'abcdefgh'[i]}xo Coffee") for i in range(8)] + [(f"b{i}", "Bar", f"{'abcdefgh'[i]}yo Tavern") for i in range(8)]
+    rows += [(f"c{i}", t, "Qo Coffee") for i, t in enumerate(["tea room", "Tea Room", "amenity=tea_room", "tea-room", "tea roon"])]
+    rows += [(f"d{i}", "kiosk", n) for i, n in enumerate(["Zo Coffee", "Zo Tavern", "Yo Coffee", "Yo Tavern", "Xo Coffee", "Xo Tavern"])] + [("e", "teahouse", "Wo Coffee"), ("n", "tea room", None), ("b", None, "Qo Coffee")]
+    got = {r[0]: r[1] for r in canonical_values.mapped_records(spark.createDataFrame(rows, "image_name string, tag string, name string"), voc).collect()}
+    assert {k: got[k] for k in got if k[0] in "cden"} == {**{f"c{i}": "amenity=cafe" for i in range(5)}, **{f"d{i}": "unmatched" for i in range(6)}, "e": "unmatched", "n": "amenity=cafe"}
 
 
 def docs(spark, rows):
