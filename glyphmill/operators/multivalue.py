@@ -13,16 +13,19 @@ INNER_BLANK = r"[^\S\n\r\t]|\p{Z}"
 #: Noncharacters of Unicode stand in for marks that need more than one character, or that belong to a value.
 LITERAL_NEWLINE, SPACED_DOT, IN_NUMBER, IN_TIME, SPACED_DASH = "\ufdd0", "\ufdd1", "\ufdd2", "\ufdd3", "\ufdd4"
 
-#: Candidate separators as they stand after ``_protect``, with the support each has before any evidence.
+#: Candidate separators as they stand after ``_protect``, with the support each has before any evidence.
 CANDIDATES = {
     "\n": 1.0, LITERAL_NEWLINE: 1.0, "\t": 1.0, "|": 1.0, ";": 1.0,
-    ",": 0.5, "/": 0.5, SPACED_DOT: 0.5,
+    ",": 0.4, "/": 0.4, SPACED_DOT: 0.4,
     SPACED_DASH: 0.0, "&": 0.0, "+": 0.0, ":": 0.0, ".": 0.0, "-": 0.0,
 }
-PRIOR_WEIGHT = 4.0
+#: What each kind of evidence weighs, and the score from which a candidate separates; none depends on the number of rows.
+CONSISTENCY, REGULARITY, RECURRENCE, SUPPORT = 0.1, 0.25, 0.45, 0.2
+#: A type counts as that of whole values if one in TYPE_SHARE of them has it.
+TYPE_SHARE = 500
 #: Sources up to which their separators, a few bytes each, are broadcast.
 FEW_SOURCES = 10_000
-ACCEPT = 0.2
+ACCEPT = 0.28
 
 
 def _protect(c: Column) -> Column:
@@ -60,31 +63,51 @@ def _class(mark: str) -> str:
     return "\\" + mark if mark in "|.+-&:;/,\n\t" and mark not in "\n\t" else {"\n": r"\n", "\t": r"\t"}.get(mark, mark)
 
 
-def separator_scores(df: DataFrame, value: str, source: Column) -> DataFrame:
-    """``(source, mark, pieces, score, accepted)`` for every source and candidate separator that occurs in it.
+def piece_type(c: Column) -> Column:
+    """The type of a value: runs of digits, Hangul and other letters each as one mark, other characters as they are."""
+    t = F.regexp_replace(F.trim(c), r"\d+", "9")
+    t = F.regexp_replace(F.regexp_replace(t, r"\p{IsHangul}+", "\ufdd5"), r"\p{L}+", "a")
+    return F.regexp_replace(t, rf"{BLANK}+", " ")
+
 
-    A candidate is scored by the regularity of what it leaves: the share of its pieces that also stand as whole values
-    elsewhere in the source, alone in a cell or between other candidates, times the share of pieces that are not
-    empty. What a hyphen or an ampersand inside names and numbers leaves never does. Candidates start with the support
-    in ``CANDIDATES``, worth ``PRIOR_WEIGHT`` pieces. All rows count, a piece once per cell; pieces are pre-aggregated before the shuffle.
+def separator_scores(df: DataFrame, value: str, source: Column) -> DataFrame:
+    """``(source, mark, pieces, consistency, regularity, recurrence, score, accepted)`` for every source and candidate
+    separator that occurs in it.
+
+    ``consistency``: the share of the cells with the mark that hold its commonest number of pieces. ``regularity``: the
+    share of its pieces whose type (``piece_type``) whole values of the source have, cells without any candidate.
+    ``recurrence``: the share of its pieces that also stand as whole values elsewhere in the source, alone in a cell or
+    between other candidates; what a hyphen or an ampersand inside names and numbers leaves never does. The three and
+    the support in ``CANDIDATES`` are weighed and multiplied by the share of pieces that are not empty. All rows count, a
+    piece once per cell; pieces, their types and numbers are pre-aggregated before each shuffle.
     """
     t = df.where(F.col(value).isNotNull()).select(source.alias("source"), _protect(F.col(value)).alias("_t"))
     marks = list(CANDIDATES)
-    splits = F.array(*[F.when(F.contains("_t", F.lit(m)), F.struct(F.lit(i).alias("d"), F.array_distinct(F.transform(_raw(F.col("_t"), m), F.trim)).alias("p"))) for i, m in enumerate(marks)])
+    splits = F.array(*[F.when(F.contains("_t", F.lit(m)), F.struct(F.lit(i).alias("d"), F.transform(_raw(F.col("_t"), m), F.trim).alias("p"))) for i, m in enumerate(marks)])
     alone = F.when(~F.col("_t").rlike("[" + "".join(_class(m) for m in marks) + "]"), F.struct(F.lit(len(marks)).alias("d"), F.array(F.trim("_t")).alias("p")))
-    each = t.select("source", F.explode(F.array_compact(F.concat(splits, F.array(alone)))).alias("s")).select("source", "s.d", F.explode("s.p").alias("piece"))
-    n = each.groupBy("source", "piece", "d").agg(F.count(F.lit(1)).alias("n"))
-    by_piece = n.groupBy("source", "piece").agg(F.collect_list(F.struct("d", "n")).alias("uses"), F.count(F.lit(1)).alias("kinds"))
-    per = by_piece.select("source", F.explode("uses").alias("u"), (F.col("kinds") > 1).alias("elsewhere"), (F.col("piece") != "").alias("filled"))
-    got = per.groupBy("source", F.col("u.d").alias("d")).agg(
+    cells = t.select("source", F.explode(F.array_compact(F.concat(splits, F.array(alone)))).alias("s")).select("source", "s.d", F.size("s.p").alias("k"), F.array_distinct("s.p").alias("p"))
+    # a cell gives its pieces and, as a piece of its own, their number
+    each = cells.select("source", "d", F.explode(F.concat(F.transform("p", lambda x: F.struct(x.alias("piece"), F.lit(None).cast("int").alias("k"))), F.array(F.struct(F.lit(None).cast("string").alias("piece"), F.col("k").alias("k"))))).alias("x"))
+    n = cut(each.groupBy("source", "x.piece", "x.k", "d").agg(F.count(F.lit(1)).alias("n")))
+    by_piece = n.where("piece is not null").groupBy("source", "piece").agg(F.collect_list(F.struct("d", "n")).alias("uses"), F.count(F.lit(1)).alias("kinds"))
+    per = by_piece.select("source", F.explode("uses").alias("u"), (F.col("kinds") > 1).alias("elsewhere"), (F.col("piece") != "").alias("filled"), piece_type(F.col("piece")).alias("type"))
+    per = cut(per.groupBy("source", F.col("u.d").alias("d"), "type").agg(
         F.sum("u.n").alias("pieces"),
         F.sum(F.when(F.col("elsewhere") & F.col("filled"), F.col("u.n")).otherwise(0)).alias("known"),
         F.sum(F.when(F.col("filled"), F.col("u.n")).otherwise(0)).alias("filled"),
+    ))
+    whole = per.where(F.col("d") == len(marks)).select("source", "type", F.col("filled").alias("w"))
+    whole = whole.join(whole.groupBy("source").agg(F.sum("w").alias("all")), "source").where(F.col("w") * TYPE_SHARE >= F.col("all")).select("source", "type", F.lit(1).alias("usual"))
+    got = per.where(F.col("d") < len(marks)).join(whole, ["source", "type"], "left").groupBy("source", "d").agg(
+        F.sum("pieces").alias("pieces"), F.sum("known").alias("known"), F.sum("filled").alias("filled"), F.sum(F.when(F.col("usual") == 1, F.col("filled")).otherwise(0)).alias("usual")
     )
+    counts = n.where(F.col("k").isNotNull()).groupBy("source", "d").agg((F.max("n") / F.sum("n")).alias("consistency"))
+    part = lambda c: F.when(F.col("filled") > 0, F.col(c) / F.col("filled")).otherwise(0.0)
+    got = got.join(counts, ["source", "d"]).withColumns({"regularity": part("usual"), "recurrence": part("known")})
     prior = F.element_at(F.array(*[F.lit(p) for p in CANDIDATES.values()]), F.col("d") + 1)
-    score = (F.col("known") + prior * PRIOR_WEIGHT) / (F.col("filled") + PRIOR_WEIGHT) * F.col("filled") / F.col("pieces")
+    score = (CONSISTENCY * F.col("consistency") + REGULARITY * F.col("regularity") + RECURRENCE * F.col("recurrence") + SUPPORT * prior) * F.col("filled") / F.col("pieces")
     name = F.element_at(F.array(*[F.lit(m) for m in marks]), F.col("d") + 1)
-    got = got.where(F.col("d") < len(marks)).select("source", name.alias("mark"), "pieces", score.alias("score"))
+    got = got.select("source", name.alias("mark"), "pieces", "consistency", "regularity", "recurrence", score.alias("score"))
     return got.withColumn("accepted", F.col("score") >= ACCEPT)
 
 

@@ -17,9 +17,9 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p4_separators(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``(source, mark, pieces, score, accepted)``: what the inference made of every candidate separator."""
+    """``(source, mark, pieces, consistency, regularity, recurrence, score, accepted)`` of every candidate separator."""
     gt = table(spark, sf_dir, "ocr_gangnam_gt")
-    return separator_scores(gt, "gt_text", F.substring_index("image_name", "__", 1)).select("source", "mark", "pieces", F.round("score", 6).alias("score"), "accepted")
+    return separator_scores(gt, "gt_text", F.substring_index("image_name", "__", 1)).select("source", "mark", "pieces", *[F.round(c, 6).alias(c) for c in ("consistency", "regularity", "recurrence", "score")], "accepted")
 
 
 QUERIES = {"p4_found": p4_found, "p4_separators": p4_separators}

@@ -161,6 +161,21 @@ def test_multivalue(spark):
     assert multivalue.split_values(df.limit(0), ["image_name"], "gt_text").count() == 0
 
 
+def test_separators_per_source(spark):
+    """A mark separates in the source where it leaves values, not where it is part of them; values need not recur."""
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choice("bdfgklmnprst") + rng.choice("aeiou") for _ in range(3))
+    rows = [(f"a__{i}", f"{word()}; {word()}; {word()}") for i in range(60)] + [(f"a__s{i}", word()) for i in range(60)] + [(f"a__m{i}", f"K{i}/{word()}#{i}; {word()}") for i in range(60)]
+    rows += [(f"b__{i}", f"cafe{i % 5} / bar{i % 7}") for i in range(60)] + [(f"b__s{i}", f"cafe{i % 5}") for i in range(9)] + [(f"b__t{i}", f"bar{i % 7}") for i in range(9)]
+    df = spark.createDataFrame(rows, "image_name string, gt_text string")
+    source = F.substring_index("image_name", "__", 1)
+    got = {(r["source"], r["mark"]): r for r in multivalue.separator_scores(df, "gt_text", source).collect()}
+    assert got["a", ";"]["accepted"] and not got["a", "/"]["accepted"] and got["b", "/"]["accepted"] and ("b", ";") not in got
+    assert got["a", ";"]["consistency"] == 0.5 and got["b", "/"]["consistency"] == 1 and got["b", "/"]["recurrence"] == 1 and got["b", "/"]["regularity"] == 1
+    values = {r["image_name"]: r["n_values"] for r in multivalue.split_values(df, ["image_name"], "gt_text", source).collect()}
+    assert values["a__0"] == 3 and values["a__m7"] == 2 and values["b__3"] == 2
+
+
 def test_readers(spark, tmp_path):
     (tmp_path / "a.csv").write_text('\ufeffimage_name,gt_text\na.jpg,"x\ny"\na.png,z\n,q\n', encoding="utf-8")
     d = readers.read_csv(spark, str(tmp_path / "a.csv")).withColumn("o", F.monotonically_increasing_id())
