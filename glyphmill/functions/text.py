@@ -189,6 +189,6 @@ def json_object(c: Column, schema: str) -> Column:
 def json_lines(c: Column, fallback: Column) -> Column:
     """The greedy ``[...]`` of a reply as lines; else its non-empty lines; else ``fallback``; also if the count changed."""
     got = F.from_json(F.nullif(F.regexp_extract(c, r"(?s)(\[.*\])", 1), F.lit("")), "array<string>")
-    plain = F.filter(F.transform(F.split(c, "\n"), F.trim), lambda x: x != "")
+    plain = F.filter(F.transform(F.split(c, "\n"), lambda x: F.trim(x)), lambda x: x != "")
     new = F.coalesce(got, F.when(F.size(plain) > 0, plain), fallback)
     return F.when(F.size(new) == F.size(fallback), new).otherwise(fallback)

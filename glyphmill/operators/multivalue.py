@@ -83,7 +83,7 @@ def separator_scores(df: DataFrame, value: str, source: Column) -> DataFrame:
     """
     t = df.where(F.col(value).isNotNull()).select(source.alias("source"), _protect(F.col(value)).alias("_t"))
     marks = list(CANDIDATES)
-    splits = F.array(*[F.when(F.contains("_t", F.lit(m)), F.struct(F.lit(i).alias("d"), F.transform(_raw(F.col("_t"), m), F.trim).alias("p"))) for i, m in enumerate(marks)])
+    splits = F.array(*[F.when(F.contains("_t", F.lit(m)), F.struct(F.lit(i).alias("d"), F.transform(_raw(F.col("_t"), m), lambda x: F.trim(x)).alias("p"))) for i, m in enumerate(marks)])
     alone = F.when(~F.col("_t").rlike("[" + "".join(_class(m) for m in marks) + "]"), F.struct(F.lit(len(marks)).alias("d"), F.array(F.trim("_t")).alias("p")))
     cells = t.select("source", F.explode(F.array_compact(F.concat(splits, F.array(alone)))).alias("s")).select("source", "s.d", F.size("s.p").alias("k"), F.array_distinct("s.p").alias("p"))
     # a cell gives its pieces and, as a piece of its own, their number
