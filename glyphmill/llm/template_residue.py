@@ -64,6 +64,7 @@ GAP = regex.compile(
     r"|(?<![{$#])\{\s*[\p{L}_][\p{L}\p{N}_. ]{0,40}\}(?!\})|(?<![\p{L}\p{N}%])%[\p{Lu}][\p{Lu}\p{N}_]{1,40}%(?![\p{L}\p{N}%])"
 )
 HINTED = regex.compile(r"(?<!\[)\[\s*([\p{L}][^\[\]\n\"]{1,60})\](?!\])|(?<!<)<\s*([\p{L}][^<>\n\"=/]{1,60})>(?!>)|\(\s*([\p{L}][^()\n\"]{1,30}(?:\([^()\n]{1,4}\))?[^()\n\"]{1,40})\)")
+QUOTES = "\"“”'‘’`«»「」『』"
 FIELD_SET = frozenset(FIELDS.split("|"))
 HINT_WORD = regex.compile("|".join(sorted({rf"(?<![a-z]){regex.escape(w)}(?![a-z])" for h in HINTS for w in h.replace("%s", " ").split()}, key=len, reverse=True)), regex.IGNORECASE)
 MARKUP = regex.compile(r"(?i)(?:h[1-6]|p|br|hr|b|i|u|em|strong|a|div|span|ul|ol|li|table|tr|td|th|html|body|head|title|pre|code|img)")
@@ -181,8 +182,8 @@ def hint_table(natural: np.ndarray) -> np.ndarray:
 
 
 def gaps(text: str, hints: np.ndarray) -> list[tuple[int, int]]:
-    """Spans of unfilled template gaps."""
-    found = [m.span() for m in GAP.finditer(text)]
+    """Spans of unfilled template gaps. What stands between quotation marks is quoted, no gap."""
+    found = [m.span() for m in GAP.finditer(text) if not (m.start() and m.end() < len(text) and text[m.start() - 1] in QUOTES and text[m.end()] in QUOTES)]
     for m in HINTED.finditer(text):
         inside = next(g for g in m.groups() if g)
         if m.group(2) and MARKUP.fullmatch(inside.strip()):

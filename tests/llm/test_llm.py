@@ -288,3 +288,27 @@ def test_p1_shares_of_many_records():
     assert grouped_splits.choose_counts({3_000_000: 1, 2_000_000: 20, 1_000_000: 2}, [("a", 0.5), ("b", 0.5)])["b"]
     plan = grouped_splits.choose_counts({50_000_000: 3, 5_000_000: 1}, shares)  # only whole large groups: the nearest is taken
     assert plan["test"] == {5_000_000: 1} and plan["val"] == {}
+
+
+#: Wordings held out: written once, in none of the lists, never used to choose a sentence or a threshold.
+HELD_OUT = [
+    "We are sorry, but the page you are looking for has moved or no longer exists.", "The web server reported a bad gateway error.", "Your request could not be processed at this time. Please come back later.",
+    "Sign in to view this content.", "This content is not available in your region.", "An unexpected error occurred while loading the page.", "Please turn on JavaScript in your browser settings to use this site.",
+    "This application requires scripts to be enabled.", "Connection timed out while contacting the server.", "You are not authorized to access this resource.", "Replace this text with your own description.",
+    "Lorem ipsum dolor sit amet, sed diam nonummy nibh euismod.", "Type your description here.", "This is a sample paragraph that you should replace.", "페이지가 삭제되었거나 주소가 변경되었습니다.", "서버에 일시적인 문제가 발생했습니다. 나중에 다시 시도해 주세요.",
+    "로그인 후 이용하실 수 있습니다.", "브라우저에서 자바스크립트를 활성화해 주세요.", "여기에 내용을 입력하세요.", "이 문장은 예시이므로 교체해 주세요.", "La página que busca no está disponible.", "Se produjo un error en el servidor. Inténtelo de nuevo más tarde.",
+    "Debe activar JavaScript en su navegador para ver esta página.", "Sustituya este texto por su descripción.", "您访问的页面已被删除。", "服务器发生错误,请稍后重试。", "请在浏览器中开启JavaScript。", "请输入您的内容。", "请登录后继续浏览。", "此处为占位文本,请替换。",
+]
+
+
+def test_p9_held_out_wordings(spark):
+    """Notices and filler in wordings that no list holds, alone and behind real sentences; prose about them is none."""
+    natural = [f"Crop {i} shows the bakery next to a plate for the hotel. The sign was painted by hand in {1900 + i}. 간판은 {i}번 사진에 있고 글자는 손으로 썼다. El rótulo {i} cuelga sobre la puerta. 第{i}张照片里的招牌是手写的。" for i in range(300)]
+    rows = [(i, t, "s") for i, t in enumerate(natural)]
+    rows += [(1000 + i, t, "s") for i, t in enumerate(HELD_OUT)] + [(2000 + i, natural[i] + "\n" + t, "s") for i, t in enumerate(HELD_OUT)]
+    rows += [(3000, 'The note quoted "{{ owner }}" from the old form.', "s"), (3001, "The owner told us that the page about the shop has been painted over.", "s")]
+    got = {r["doc_id"] for r in template_residue.residue(docs(spark, rows)).where("found").collect()}
+    assert not {i for i in got if i < 1000 or i >= 3000}
+    found = {i % 1000 for i in got if i >= 1000}
+    print("held out", len(found), "of", len(HELD_OUT), sorted(set(range(len(HELD_OUT))) - found))
+    assert len(found) >= 0.5 * len(HELD_OUT)
