@@ -111,3 +111,25 @@ def stripes(x: Column, y: Column, w: Column, h: Column, long_side: int = 40, mos
     parts = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.struct((x + F.when(wide, i * sw).otherwise(0.0)).alias("x"), (y + F.when(wide, 0.0).otherwise(i * sh)).alias("y"), sw.alias("w"), sh.alias("h")))
     kept = F.filter(parts, lambda p: (p["w"] >= least_side) & (p["h"] >= least_side))
     return F.when(F.size(kept) > 0, kept).otherwise(F.array(F.struct(x.cast("double").alias("x"), y.cast("double").alias("y"), w.cast("double").alias("w"), h.cast("double").alias("h"))))
+
+
+def crop_strip(boxes: Column, pad: float, w: Column, h: Column) -> Column:
+    """The box around an array of boxes, grown by ``pad`` of its sides, clipped to the image and cut to whole pixels."""
+    u = box(F.array_min(F.transform(boxes, lambda b: b["x0"])), F.array_min(F.transform(boxes, lambda b: b["y0"])), F.array_max(F.transform(boxes, lambda b: b["x1"])), F.array_max(F.transform(boxes, lambda b: b["y1"])))
+    pw, ph = (u["x1"] - u["x0"]) * pad, (u["y1"] - u["y0"]) * pad
+    whole = lambda c: c.cast("int")  # noqa: E731  towards zero
+    return box(whole(F.greatest(u["x0"] - pw, F.lit(0.0))), whole(F.greatest(u["y0"] - ph, F.lit(0.0))), whole(F.least(u["x1"] + pw, w)), whole(F.least(u["y1"] + ph, h)))
+
+
+def to_photo(b: Column, x: Column, y: Column, scale: Column) -> Column:
+    """A box of a crop in the pixels of its photo: scaled back and moved by the corner of the crop."""
+    return box(b["x0"] / scale + x, b["y0"] / scale + y, b["x1"] / scale + x, b["y1"] / scale + y)
+
+
+def pad_quad(points: Column, ratio: float, w: Column, h: Column) -> Column:
+    """Corners moved away from their centre by ``ratio`` and kept inside the image."""
+    n = F.size(points)
+    mean = lambda c: F.aggregate(points, F.lit(0.0), lambda acc, p: acc + p[c]) / n
+    cx, cy = mean("x"), mean("y")
+    inside = lambda v, most: F.least(F.greatest(v, F.lit(0.0)), most - 1.0)
+    return F.transform(points, lambda p: F.struct(inside(cx + (p["x"] - cx) * (1 + ratio), w).alias("x"), inside(cy + (p["y"] - cy) * (1 + ratio), h).alias("y")))

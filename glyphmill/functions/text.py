@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 
 #: The mark of a line nobody must read, and phone numbers.
 DONT_CARE = "###"
-PHONE = r"(?:\+?\d{1,3}[ -]?)?\(?\d{2,4}\)?[ .-]?\d{3,4}[ .-]?\d{4}(?!\d)"
+PHONE = r"(?:\+\d{1,3}[-.)\s]?)?\d{2,4}[-.)\s]\s?(?:\d{3,4}[-.\s]\s?)?\d{4}(?!\d)"
 ASCII = r"^[\x00-\x7F]*$"
 
 
@@ -37,10 +37,12 @@ def split_name(c: Column) -> Column:
     return F.coalesce(*[F.when(key.isin(*spellings), F.lit(name)) for name, spellings in names.items()])
 
 
-def base_norm(c: Column, english_only: bool = False, ascii_only: bool = False) -> Column:
-    """Scoring form: NFKC, zero-width space dropped, lower case, phones blanked, only key characters and blanks kept."""
+def base_norm(c: Column, english_only: bool = False, ascii_only: bool = False, phones: bool = True) -> Column:
+    """Scoring form: NFKC, zero-width space dropped, lower case, phones blanked unless ``phones`` is false, only key
+    characters and blanks kept. Null counts as empty."""
+    c = F.coalesce(c, F.lit(""))
     t = F.lower(F.replace(c if ascii_only else nfkc(c), F.lit("\u200b"), F.lit("")))
-    t = F.regexp_replace(t, PHONE, " ")
+    t = F.regexp_replace(t, PHONE, " ") if phones else t
     t = F.regexp_replace(t, "[가-힣]", "") if english_only else t
     return F.regexp_replace(t, r"[^0-9a-z가-힣\s]", "")
 

@@ -26,6 +26,13 @@ def undecided(suspects: DataFrame, decisions: DataFrame, key: str) -> DataFrame:
     return suspects.join(decisions, key, "left_anti")
 
 
+def apply_checked(rows: DataFrame, suspects: DataFrame, decisions: DataFrame, key: str) -> DataFrame:
+    """``apply_decisions``, refused with an error while a suspect has no decision."""
+    if not undecided(suspects, decisions, key).isEmpty():
+        raise ValueError("a suspect has no decision yet")
+    return apply_decisions(rows, decisions, key)
+
+
 def scored(df: DataFrame, rules: list[tuple[str, int, Column]]) -> DataFrame:
     """``df`` with ``suspicion`` and the ``reasons`` of the rules ``(name, points, condition)`` that hold."""
     points = [F.when(F.coalesce(c, F.lit(False)), n).otherwise(0) for _, n, c in rules]

@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from glyphmill.functions import geometry as g
+from glyphmill.functions.text import lev_infix
 from glyphmill.operators.lineage import cut
 
 
@@ -34,34 +33,39 @@ def greedy_match(pairs: DataFrame, key: list[str], order: list[Column], most_rou
     """The rows of ``pairs (*key, a, b, ..)`` that greedy assignment in ``order`` takes; each a and b of a key once.
 
     A round takes the pairs that come first for both their ends and drops what those ends still have; this yields the
-    same set as one pass over all pairs in order, for any total order (ties are broken by a, then b).
+    same set as one pass over all pairs in order, for any total order (ties are broken by a, then b). Pairs that are alone
+    at both ends are taken before the first round. More than ``most_rounds`` rounds raise an error.
     """
     rank = F.struct(*order, F.col("a"), F.col("b"))
-    left = cut(pairs.withColumn("_o", rank))
+    left = pairs.withColumn("_o", rank)
     taken = None
     for _ in range(most_rounds):
         first_a = left.groupBy(*key, "a").agg(F.min("_o").alias("_fa"))
         first_b = left.groupBy(*key, "b").agg(F.min("_o").alias("_fb"))
-        got = left.join(first_a, [*key, "a"]).join(first_b, [*key, "b"]).where((F.col("_o") == F.col("_fa")) & (F.col("_o") == F.col("_fb")))
-        got = cut(got.select(*left.columns))
+        both = left.join(first_a, [*key, "a"]).join(first_b, [*key, "b"])
+        both = cut(both.withColumn("_got", (F.col("_o") == F.col("_fa")) & (F.col("_o") == F.col("_fb"))).drop("_fa", "_fb"))
+        got = both.where("_got").drop("_got")
         if got.isEmpty():
-            break
+            return (got if taken is None else taken).drop("_o").select(*pairs.columns)
         taken = got if taken is None else taken.unionByName(got)
-        left = cut(left.join(got.select(*key, "a"), [*key, "a"], "left_anti").join(got.select(*key, "b"), [*key, "b"], "left_anti").select(*left.columns))
-    return (left.limit(0) if taken is None else taken).drop("_o")
+        left = both.where("not _got").drop("_got").join(got.select(*key, "a"), [*key, "a"], "left_anti").join(got.select(*key, "b"), [*key, "b"], "left_anti")
+    raise RuntimeError(f"pairs are left after {most_rounds} rounds")
 
 
 def suppress(boxes: DataFrame, key: str, order: list[Column], threshold: float, strict: bool = True, most_rounds: int = 1000) -> DataFrame:
     """Boxes ``(key, id, box, ..)`` that survive suppression in ``order``: a box goes if one kept before it overlaps by
-    more than ``threshold`` (``strict``) or by at least it. Rounds: a box with no undecided box before it is kept."""
+    more than ``threshold`` (``strict``) or by at least it. Rounds: a box with no undecided box before it is kept. More
+    than ``most_rounds`` rounds raise an error."""
     ranked = boxes.select(key, F.col("id"), "box", F.struct(*order, F.col("id")).alias("o"))
     a, b = ranked.select(key, F.struct("id", "o").alias("a"), "box"), ranked.select(key, F.struct("id", "o").alias("b"), "box")
     over = F.col("iou") > threshold if strict else F.col("iou") >= threshold
     edge = cut(overlap_join(a, b, key).where(over & (F.col("a.o") < F.col("b.o"))).select(key, F.col("a.id").alias("hi"), F.col("b.id").alias("lo")))
     gone = None
-    for _ in range(most_rounds):
+    for n in range(most_rounds + 1):
         if edge.isEmpty():
             break
+        if n == most_rounds:
+            raise RuntimeError(f"boxes are undecided after {most_rounds} rounds")
         kept = edge.select(key, F.col("hi").alias("id")).distinct().join(edge.select(key, F.col("lo").alias("id")).distinct(), [key, "id"], "left_anti")
         dead = cut(edge.join(kept.withColumnRenamed("id", "hi"), [key, "hi"], "left_semi").select(key, F.col("lo").alias("id")).distinct())
         gone = dead if gone is None else gone.unionByName(dead)
@@ -73,23 +77,28 @@ def suppress(boxes: DataFrame, key: str, order: list[Column], threshold: float,
 def match_boxes(pred: DataFrame, truth: DataFrame, key: str, threshold: float = 0.5) -> DataFrame:
     """``(key, a, b, iou, conf, status)``: TP, FP and FN rows; predictions by falling ``conf`` take the best free truth.
 
-    ``pred (key, a, box, conf)``, ``truth (key, b, box)``. FP rows have a null ``b`` and the best IoU with a truth no
-    one took, FN rows a null ``a`` and ``conf``.
+    ``pred (key, a, box, conf)``, ``truth (key, b, box)``. FP rows have a null ``b`` and the best IoU with a truth that was
+    free at their turn, FN rows a null ``a`` and ``conf``.
     """
     pairs = cut(overlap_join(pred, truth, key).join(pred.select(key, "a", "conf"), [key, "a"]))
     tp = cut(greedy_match(pairs.where(F.col("iou") >= threshold), [key], [-F.col("conf"), F.col("a"), -F.col("iou")]))
     rest = pred.join(tp.select(key, "a"), [key, "a"], "left_anti").select(key, "a", "conf")
-    free = pairs.join(tp.select(key, "b"), [key, "b"], "left_anti").groupBy(key, "a").agg(F.max("iou").alias("iou"))
+    turn = F.struct(-F.col("conf"), F.col("a"))
+    held = tp.select(key, "b", turn.alias("_taken"))
+    free = pairs.join(held, [key, "b"], "left").where(F.col("_taken").isNull() | (turn < F.col("_taken"))).groupBy(key, "a").agg(F.max("iou").alias("iou"))
     fp = rest.join(free, [key, "a"], "left").select(key, "a", F.lit(None).cast(dict(truth.dtypes)["b"]).alias("b"), F.coalesce("iou", F.lit(0.0)).alias("iou"), "conf", F.lit("FP").alias("status"))
     fn = truth.join(tp.select(key, "b"), [key, "b"], "left_anti").select(key, F.lit(None).cast(dict(pred.dtypes)["a"]).alias("a"), "b", F.lit(0.0).alias("iou"), F.lit(None).cast("double").alias("conf"), F.lit("FN").alias("status"))
     return tp.select(key, "a", "b", "iou", "conf", F.lit("TP").alias("status")).unionByName(fp).unionByName(fn)
 
 
-def match_lines(truth: DataFrame, pred: DataFrame, key: str) -> DataFrame:
+def match_lines(truth: DataFrame, pred: DataFrame, key: str, infix: Column | None = None) -> DataFrame:
     """``(key, t, p, edits, n)``: truth lines with the prediction greedy assignment gives them, smallest edits per letter
-    first; a truth line without a partner has a null ``p`` and costs its length. Inputs ``(key, t|p, text)``."""
-    a, b = truth.select(key, F.col("t").alias("a"), F.col("text").alias("x")), pred.select(key, F.col("p").alias("b"), F.col("text").alias("y"))
-    pairs = a.join(b, key).withColumn("edits", F.levenshtein("x", "y")).withColumn("ratio", F.col("edits") / F.greatest(F.length("x"), F.lit(1)))
+    first; a truth line without a partner has a null ``p`` and costs its length. Inputs ``(key, t|p, text)``; where the
+    condition ``infix`` over the truth's columns holds, the text around the best part of a prediction costs nothing."""
+    a, b = truth.select(key, F.col("t").alias("a"), F.col("text").alias("x"), (F.lit(False) if infix is None else infix).alias("_in")), pred.select(key, F.col("p").alias("b"), F.col("text").alias("y"))
+    whole = F.levenshtein("x", "y")
+    edits = whole if infix is None else F.when(F.col("_in"), lev_infix(F.col("y"), F.col("x"))).otherwise(whole)
+    pairs = a.join(b, key).withColumn("edits", edits).withColumn("ratio", F.col("edits") / F.greatest(F.length("x"), F.lit(1)))
     got = greedy_match(pairs.select(key, "a", "b", "edits", "ratio"), [key], [F.col("ratio")])
     return a.join(got.select(key, "a", "b", "edits"), [key, "a"], "left").select(key, F.col("a").alias("t"), F.col("b").alias("p"), F.coalesce("edits", F.length("x")).alias("edits"), F.length("x").alias("n"))
 
@@ -133,5 +142,17 @@ def group_lines(boxes: Column, tol: Column) -> Column:
     return F.transform(lines, lambda line: F.transform(F.array_sort(line["w"]), lambda s: s["id"]))
 
 
-def all_of(conditions: list[Column]) -> Column:
-    return reduce(lambda p, q: p & q, conditions)
+def merge_boxes(boxes: DataFrame, key: str, order: list[Column], threshold: float, by: str) -> DataFrame:
+    """``(key, id, box, by)``: boxes that start a cluster, with the sorted names ``by`` of all boxes in it.
+
+    In ``order`` each box joins the first cluster whose box overlaps it by at least ``threshold``, else it starts one.
+    The boxes that start clusters are those that suppression keeps; every other joins the first of them before it.
+    """
+    ranked = boxes.select(key, F.col("id"), "box", F.struct(*order, F.col("id")).alias("o"), F.col(by).alias("_by"))
+    kept = cut(suppress(boxes, key, order, threshold, strict=False).join(ranked.select(key, "id", "o"), [key, "id"]).select(key, "id", "box", "o"))
+    a, b = ranked.select(key, F.struct("id", "o", "_by").alias("a"), "box"), kept.select(key, F.struct("id", "o").alias("b"), "box")
+    near = overlap_join(a, b, key).where((F.col("iou") >= threshold) & (F.col("b.o") < F.col("a.o")) & (F.col("a.id") != F.col("b.id")))
+    near = near.join(kept.select(key, F.col("id").alias("_k")), (near[key] == kept[key]) & (F.col("a.id") == F.col("_k")), "left_anti")
+    first = near.groupBy(key, F.col("a.id").alias("m"), F.col("a._by").alias("_by")).agg(F.min_by("b.id", "b.o").alias("id")).select(key, "id", "_by")
+    names = first.unionByName(kept.join(ranked.select(key, "id", "_by"), [key, "id"]).select(key, "id", "_by"))
+    return kept.select(key, "id", "box").join(names.groupBy(key, "id").agg(F.sort_array(F.collect_set("_by")).alias("by")), [key, "id"])

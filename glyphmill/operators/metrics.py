@@ -41,17 +41,45 @@ def curve(hits: DataFrame, group: str, score: str, hit: str, tie: str, bits: int
     return out.withColumn("envelope", F.greatest("_m", "_m0")).drop("_s", "_b", "_g", "_b2", "_m", "_m0")
 
 
+def _trapezoid_101(full: DataFrame, group: str, hit: str, totals: DataFrame) -> DataFrame:
+    """``(group, ap_101)`` of a curve with ``cum_tp``, ``envelope`` and ``total``.
+
+    At a recall of k hits the curve drops from the highest envelope of its points to the lowest, so a grid point between
+    two recalls is read from the lowest of the one before to the highest of the one behind; on a recall it is the lowest,
+    as of the last point there. Points are joined to their neighbours by their number of hits, no window is needed.
+    """
+    p = full.where("total > 0").groupBy(group, "total", F.col("cum_tp").alias("k")).agg(F.max("envelope").alias("top"), F.min("envelope").alias("low"))
+    best = p.groupBy(group, "total").agg(F.max("top").alias("top"))
+    ends = totals.where("total > 0").join(best.drop("total"), group)
+    one = F.greatest(F.lit(1.0), F.coalesce("top", F.lit(0.0)))  # the envelope at recall 0
+    start = ends.select(group, "total", F.lit(0).cast("long").alias("k"), one.alias("top"), F.lit(None).cast("double").alias("low"))
+    both = p.select(group, "total", "k", "top", "low").unionByName(start).groupBy(group, "total", "k").agg(F.max("top").alias("top"), F.min("low").alias("low"))
+    both = both.withColumn("low", F.coalesce("low", "top"))
+    last = both.groupBy(group).agg(F.max("k").alias("last"))
+    nxt = both.select(F.col(group).alias("_g"), (F.col("k") - 1).alias("_k"), F.col("top").alias("next"))
+    seg = both.join(nxt, same(both, nxt, [(group, "_g"), ("k", "_k")]), "left").join(last, group)
+    # behind the last recall the curve falls to (1, 0)
+    x0 = F.col("k") / F.col("total")
+    x1 = F.when(F.col("k") == F.col("last"), F.lit(1.0)).otherwise((F.col("k") + 1) / F.col("total"))
+    lo = F.ceil(F.round(x0 * 100, 9)).cast("int")
+    hi = F.when(F.col("k") == F.col("last"), F.lit(100)).otherwise(F.ceil(F.round(x1 * 100, 9)).cast("int") - 1)
+    grid = seg.withColumns({"x0": x0, "x1": x1, "y1": F.coalesce("next", F.lit(0.0))}).where(lo <= hi).withColumn("i", F.explode(F.sequence(lo, hi)))
+    x = F.col("i") / 100
+    y = F.when(F.col("x1") > F.col("x0"), F.col("low") + (F.col("y1") - F.col("low")) * (x - F.col("x0")) / (F.col("x1") - F.col("x0"))).otherwise(F.when(F.col("k") == F.col("total"), F.lit(0.0)).otherwise(F.col("low")))
+    weight = F.when(F.col("i").isin(0, 100), 0.5).otherwise(1.0)
+    return grid.groupBy(group).agg((F.sum(y * weight) / 100).alias("ap_101"))
+
+
 def average_precision(hits: DataFrame, group: str, score: str, hit: str, tie: str, totals: DataFrame) -> DataFrame:
     """``(group, ap_all, ap_step, ap_101, total)``: all-point with envelope, step sum without it, and 101-point.
 
-    ``totals (group, total)`` counts the truth; a group without truth or hits has 0.
+    The last is the trapezoid sum over 101 recalls of the envelope read linearly between the points of the curve, which
+    begins at (0, 1) and ends at (1, 0). ``totals (group, total)`` counts the truth; a group without truth or hits has 0.
     """
-    c = curve(hits, group, score, hit, tie).join(totals, group)
-    c = c.where((F.col("total") > 0) & F.col(hit)).withColumn("recall", F.col("cum_tp") / F.col("total"))
-    # the recall steps a hit is the first to reach: grid points in (recall - 1/total, recall], 0 with the first hit
-    lo = F.when(F.col("cum_tp") == 1, F.lit(-1)).otherwise(F.floor(F.round((F.col("cum_tp") - 1) * 100 / F.col("total"), 9)))
-    grid = F.floor(F.round(F.col("cum_tp") * 100 / F.col("total"), 9)) - lo
-    s = c.groupBy(group).agg(F.sum(F.col("envelope") / F.col("total")).alias("ap_all"), F.sum(F.col("precision") / F.col("total")).alias("ap_step"), F.sum(F.col("envelope") * grid / 101).alias("ap_101"))
+    full = curve(hits, group, score, hit, tie).join(totals, group)
+    c = full.where((F.col("total") > 0) & F.col(hit)).withColumn("recall", F.col("cum_tp") / F.col("total"))
+    s = c.groupBy(group).agg(F.sum(F.col("envelope") / F.col("total")).alias("ap_all"), F.sum(F.col("precision") / F.col("total")).alias("ap_step"))
+    s = s.join(_trapezoid_101(full, group, hit, totals), group, "full")
     z = F.lit(0.0)
     return totals.join(s, group, "left").select(group, *[F.coalesce(x, z).alias(x) for x in ("ap_all", "ap_step", "ap_101")], "total")
 

@@ -141,14 +141,26 @@ def ap_curves(spark: SparkSession, sf_dir: str) -> DataFrame:
     return a.select("region", *[F.round(c, 6).alias(c) for c in ("ap_all", "ap_step", "ap_101")], "total")
 
 
-AP_CURVES = HITS + """, g as (select unnest(range(0, 101)) / 100.0 as r),
-x as (select n.region, g.r, coalesce(max(env) filter (hit and round(ct / total, 9) >= g.r - 1e-9), 0) as v from n cross join g left join e on e.region = n.region group by n.region, g.r)
-select n.region, round(coalesce(sum(env / total) filter (hit), 0), 6) as ap_all, round(coalesce(sum(p / total) filter (hit), 0), 6) as ap_step,
-  (select round(sum(v) / 101, 6) from x where x.region = n.region) as ap_101, total
-from n left join e using (region) group by n.region, total
+def ap_sql(source: str, group: str) -> str:
+    """SQL of the three average precisions over ``source`` rows ``(group, conf, hit, det_crop)`` and ``n (group, total)``."""
+    return f"""c as (select *, count(*) over w as cn, count(*) filter (hit) over w as ct from {source} window w as (partition by {group} order by coalesce(conf, -1) desc, det_crop rows unbounded preceding)),
+e as (select *, ct / cn as p, max(ct / cn) over (partition by {group} order by coalesce(conf, -1) desc, det_crop rows between current row and unbounded following) as env from c),
+pt as (select {group}, total, ct as k, max(env) as top, min(env) as low from e join n using ({group}) group by 1, 2, 3),
+p0 as (select {group}, total, k, top, low from pt union all select {group}, total, 0, greatest(1, max(top)), null from pt group by 1, 2),
+p1 as (select {group}, total, k, max(top) as top, coalesce(min(low), max(top)) as low, max(k) over (partition by {group}) as last from p0 group by 1, 2, 3),
+x as (select {group}, unnest(range(0, 101)) as i from n where {group} in (select {group} from pt)),
+y as (select x.{group}, x.i, a.k, a.low, a.last, a.total, b.top as nxt, row_number() over (partition by x.{group}, x.i order by a.k desc) as rn
+  from x join p1 a on a.{group} = x.{group} and round(a.k * 100.0 / a.total, 9) <= x.i left join p1 b on b.{group} = a.{group} and b.k = a.k + 1),
+z as (select {group}, i, case when k = total then 0.0 when k = last then low - low * (i / 100.0 - k / total) / (1 - k / total) else low + (nxt - low) * (i / 100.0 - k / total) * total end as v from y where rn = 1),
+t as (select {group}, sum(v * case when i in (0, 100) then 0.5 else 1 end) / 100 as ap_101 from z group by 1),
+ap as (select n.{group}, coalesce(sum(env / total) filter (hit), 0) as ap_all, coalesce(sum(p / total) filter (hit), 0) as ap_step, coalesce(any_value(ap_101), 0) as ap_101, total
+  from n left join e using ({group}) left join t using ({group}) group by 1, total)
 """
 
 
+AP_CURVES = "with m as (select distinct * from e2e_match_gangnam), h as (select split_part(photo, '__', 1) as region, conf, status = 'TP' as hit, det_crop from m where status <> 'FN'), n as (select split_part(photo, '__', 1) as region, count(*) as total from m where status <> 'FP' group by 1),\n" + ap_sql("h", "region") + "select region, round(ap_all, 6) as ap_all, round(ap_step, 6) as ap_step, round(ap_101, 6) as ap_101, total from ap"
+
+
 def pr_at_conf(spark: SparkSession, sf_dir: str) -> DataFrame:
     hits, totals = _hits(spark, sf_dir)
     s = hits.where("conf >= 0.25").groupBy("region").agg(F.count(F.lit(1)).alias("preds"), F.count_if("hit").alias("tp")).join(totals, "region")

@@ -69,14 +69,14 @@ select key, name, tag, source, ord from r where rn = 1
 
 
 def vocab_min_freq(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Words of all ASCII documents with at least three uses."""
-    d = table(spark, sf_dir, "documents").where(F.col("text").rlike(t.ASCII))
-    w = d.select(F.explode(F.split("text", r"\s+")).alias("word")).select("word", F.regexp_replace(F.lower("word"), "[^0-9a-z]", "").alias("key"))
+    """Words of all part names with at least three uses."""
+    d = table(spark, sf_dir, "part")
+    w = d.select(F.explode(F.split("p_name", r"\s+")).alias("word")).select("word", F.regexp_replace(F.lower("word"), "[^0-9a-z]", "").alias("key"))
     return retrieval.vocabulary(w, 3)
 
 
 VOCAB = r"""
-with w as (select unnest(regexp_split_to_array(text, '\s+')) as word from documents where regexp_full_match(text, '[\x00-\x7F]*')),
+with w as (select unnest(regexp_split_to_array(p_name, '\s+')) as word from part),
 n as (select regexp_replace(lower(word), '[^0-9a-z]', '', 'g') as key, word, count(*) as n from w group by 1, 2),
 r as (select *, row_number() over (partition by key order by n desc, word) as rn, sum(n) over (partition by key) as freq from n where length(key) >= 2)
 select key, word, cast(freq as bigint) as freq from r where rn = 1 and freq >= 3
@@ -84,7 +84,7 @@ select key, word, cast(freq as bigint) as freq from r where rn = 1 and freq >= 3
 
 
 def vocab_min_freq_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``vocab_min_freq`` over the documents in any script; SQL has no NFKC, so there is no oracle."""
+    """Words of all documents in any script with at least three uses; SQL has no NFKC, so there is no oracle."""
     w = table(spark, sf_dir, "documents").select(F.explode(F.split("text", r"\s+")).alias("word"))
     return retrieval.vocabulary(w.select("word", t.norm_key(F.col("word")).alias("key")), 3)
 
@@ -114,32 +114,6 @@ COS = "list_sum(list_transform(list_zip({0}, {1}), lambda z: z[1]::double * z[2]
 DENSE = "select query_id, vec_id, round(c, 5) as cosine, cast(rn as integer) as rank from (select *, row_number() over (partition by query_id order by round(c, 9) desc, vec_id) as rn from (select q.vec_id as query_id, v.vec_id, " + COS.format("q.embedding", "v.embedding") + " as c from embeddings q, embeddings v where q.vec_id % 100 = 0 and v.vec_id <> q.vec_id)) where rn <= 10"
 
 
-def _fused(spark: SparkSession, sf_dir: str) -> DataFrame:
-    v = table(spark, sf_dir, "embeddings")
-    a = retrieval.dense_topk(v, _asking(v), 30).select("query_id", "vec_id", "rank")
-    b = retrieval.dense_topk(v, _asking(v), 30, dims=slice(0, 32)).select("query_id", "vec_id", "rank")
-    return retrieval.fuse(a.unionByName(b), "query_id", "vec_id", 10)
-
-
-FUSED = "with r1 as (select q.vec_id as query_id, v.vec_id, row_number() over (partition by q.vec_id order by round(" + COS.format("q.embedding", "v.embedding") + ", 9) desc, v.vec_id) as rank from embeddings q, embeddings v where q.vec_id % 100 = 0 and v.vec_id <> q.vec_id), r2 as (select q.vec_id as query_id, v.vec_id, row_number() over (partition by q.vec_id order by round(" + COS.format("q.embedding[1:32]", "v.embedding[1:32]") + ", 9) desc, v.vec_id) as rank from embeddings q, embeddings v where q.vec_id % 100 = 0 and v.vec_id <> q.vec_id), s as (select query_id, vec_id, sum(1.0::double / (10 + rank)) as score from (select * from r1 where rank <= 30 union all select * from r2 where rank <= 30) group by 1, 2), f as (select *, row_number() over (partition by query_id order by round(score, 12) desc, vec_id) as rank from s)\n"
-
-
-def rrf_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _fused(spark, sf_dir).select("query_id", "vec_id", F.round("score", 6).alias("score"), "rank")
-
-
-RRF = FUSED + "select query_id, vec_id, round(score, 6) as score, cast(rank as integer) as rank from f where rank <= 10"
-
-
-def hit_at_k(spark: SparkSession, sf_dir: str) -> DataFrame:
-    v = table(spark, sf_dir, "embeddings").select("vec_id", "label")
-    r = _fused(spark, sf_dir).join(v, "vec_id").join(v.withColumnsRenamed({"vec_id": "query_id", "label": "gold"}), "query_id")
-    return retrieval.hit_at(r.withColumn("good", F.col("label") == F.col("gold")), "query_id", "good")
-
-
-HIT = FUSED + ", g as (select f.query_id, min(rank) filter (a.label = b.label) as first from f join embeddings a on a.vec_id = f.vec_id join embeddings b on b.vec_id = f.query_id where rank <= 10 group by 1) select k, count(*) as queries, count(*) filter (first <= k) as hits from g, (values (1), (3), (5), (10)) t(k) group by 1"
-
-
 def log_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The current mark of every image: the last click, by time and then arrival, however late it came."""
     m = table(spark, sf_dir, "tagging_marks").withColumn("ordinal", F.struct("ts", "mark_id"))
@@ -226,43 +200,33 @@ def repeatability(spark: SparkSession, sf_dir: str) -> DataFrame:
 REPEAT = "with r as (select image_name, first(tag order by mark_id) as a, last(tag order by mark_id) as b from tagging_marks where image_name is not null group by 1) select count(*) as images, count(*) filter (a is not distinct from b) as identical, count(*) filter (a is null and b is not null) as gained, count(*) filter (a is not null and b is null) as lost from r"
 
 
-def _intersections(manifest: DataFrame) -> DataFrame:
-    c = manifest.where("text is not null and split in ('train', 'val', 'test')").select("text", "split").distinct()
-    s = c.groupBy("text").agg(F.array_join(F.sort_array(F.collect_set("split")), "+").alias("splits"))
-    return s.groupBy("splits").agg(F.count(F.lit(1)).alias("texts"))
+def _split_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = table(spark, sf_dir, "crop_manifest").withColumn("split", t.split_name(F.col("split")))
+    return c.where("text is not null and split is not null").select("annotation_id", "text", "split").distinct()
 
 
 def split_intersections(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Texts that stand in more than one split, by the splits they stand in."""
-    return _intersections(table(spark, sf_dir, "crop_manifest"))
-
-
-def split_intersections_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``split_intersections`` with every spelling of the splits."""
-    return _intersections(table(spark, sf_dir, "crop_manifest").withColumn("split", t.split_name(F.col("split"))))
-
-
-SPLITS = "select splits, count(*) as texts from (select text, string_agg(split, '+' order by split) as splits from (select distinct text, split from crop_manifest where text is not null and split in ('train', 'val', 'test')) group by 1) group by 1"
+    s = _split_texts(spark, sf_dir).groupBy("text").agg(F.array_join(F.sort_array(F.collect_set("split")), "+").alias("splits"))
+    return s.groupBy("splits").agg(F.count(F.lit(1)).alias("texts"))
 
 
-def _seen(manifest: DataFrame) -> DataFrame:
-    c = manifest.where("text is not null").select("annotation_id", "text", "split").distinct()
-    seen = c.where("split = 'train'").select("text", F.lit(True).alias("seen")).distinct()
-    e = c.where("split in ('val', 'test')").join(seen, "text", "left")
-    return e.groupBy("split", F.coalesce("seen", F.lit(False)).alias("seen")).agg(F.count(F.lit(1)).alias("crops"), F.count_distinct("text").alias("texts"))
+_NAME = "regexp_replace(lower(split), '[^a-z]', '', 'g')"
+SPLIT_TEXTS = f"""with c as (select distinct annotation_id, text, case when {_NAME} in ('train', 'training', 'trn', 'tr') then 'train' when {_NAME} in ('val', 'valid', 'validation', 'dev', 'vld') then 'val' when {_NAME} in ('test', 'testing', 'tst') then 'test' end as split
+  from crop_manifest where text is not null), v as (select * from c where split is not null)
+"""
+SPLITS = SPLIT_TEXTS + "select splits, count(*) as texts from (select text, string_agg(split, '+' order by split) as splits from (select distinct text, split from v) group by 1) group by 1"
 
 
 def seen_unseen(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Evaluation crops by whether their text stands verbatim in training."""
-    return _seen(table(spark, sf_dir, "crop_manifest"))
-
-
-def seen_unseen_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``seen_unseen`` with every spelling of the splits."""
-    return _seen(table(spark, sf_dir, "crop_manifest").withColumn("split", t.split_name(F.col("split"))))
+    c = _split_texts(spark, sf_dir)
+    seen = c.where("split = 'train'").select("text", F.lit(True).alias("seen")).distinct()
+    e = c.where("split <> 'train'").join(seen, "text", "left")
+    return e.groupBy("split", F.coalesce("seen", F.lit(False)).alias("seen")).agg(F.count(F.lit(1)).alias("crops"), F.count_distinct("text").alias("texts"))
 
 
-SEEN = "with c as (select distinct annotation_id, text, split from crop_manifest where text is not null) select split, (text in (select text from c where split = 'train')) as seen, count(*) as crops, count(distinct text) as texts from c where split in ('val', 'test') group by 1, 2"
+SEEN = SPLIT_TEXTS + "select split, (text in (select text from v where split = 'train')) as seen, count(*) as crops, count(distinct text) as texts from v where split <> 'train' group by 1, 2"
 
 
 def share_components(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -300,9 +264,9 @@ def bootstrap_ci(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stats.paired_bootstrap(p.select("photo", F.col("tp").alias("num_a"), F.col("truth").alias("den_a"), F.col("tp").alias("num_b"), (F.col("tp") + F.col("fp")).alias("den_b")), "photo")
 
 
-QUERIES = {f.__name__: f for f in (retrieve_lexical_topk, hint_lines, dict_merge_ranked, vocab_min_freq, vocab_min_freq_all, coverage_by_source, retrieve_dense_topk, rrf_fusion, hit_at_k, log_latest, review_counts, decisions_apply, suspicion_queue, manifest_antijoin, cascade_counts, tag_eval_strata, repeatability, split_intersections, split_intersections_all, seen_unseen, seen_unseen_all, share_components, fold_leak_audit, per_photo_ratios, bootstrap_ci)}
+QUERIES = {f.__name__: f for f in (retrieve_lexical_topk, hint_lines, dict_merge_ranked, vocab_min_freq, vocab_min_freq_all, coverage_by_source, retrieve_dense_topk, log_latest, review_counts, decisions_apply, suspicion_queue, manifest_antijoin, cascade_counts, tag_eval_strata, repeatability, split_intersections, seen_unseen, share_components, fold_leak_audit, per_photo_ratios, bootstrap_ci)}
 ORACLES = {
     "retrieve_lexical_topk": RETRIEVE, "hint_lines": HINTS, "dict_merge_ranked": DICT_MERGE, "vocab_min_freq": VOCAB, "coverage_by_source": COVERAGE, "retrieve_dense_topk": DENSE,
-    "rrf_fusion": RRF, "hit_at_k": HIT, "log_latest": LOG_LATEST, "review_counts": REVIEW, "decisions_apply": DECISIONS, "suspicion_queue": SUSPICION, "manifest_antijoin": ANTI,
+    "log_latest": LOG_LATEST, "review_counts": REVIEW, "decisions_apply": DECISIONS, "suspicion_queue": SUSPICION, "manifest_antijoin": ANTI,
     "cascade_counts": CASCADE, "tag_eval_strata": TAG_EVAL, "repeatability": REPEAT, "split_intersections": SPLITS, "seen_unseen": SEEN, "share_components": SHARE, "per_photo_ratios": PER_PHOTO,
 }

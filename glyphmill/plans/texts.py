@@ -30,20 +30,20 @@ select cast(len(ls) as integer) as lines, cast(len(list_filter(ls, lambda s: s <
 
 
 def norm_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "tagging_gt_v1").where(F.col("name").rlike(t.ASCII))
-    k = t.norm_key(F.col("name"), ascii_only=True)
-    return d.select("region", k.alias("key"), F.size(t.bigrams(k)).alias("grams")).groupBy("region", "key", "grams").agg(F.count(F.lit(1)).alias("records"))
+    """Keys of all part, supplier and customer names and how many 2-grams they have."""
+    names = [table(spark, sf_dir, n).select(F.lit(n).alias("source"), t.norm_key(F.col(c)).alias("key")) for n, c in (("part", "p_name"), ("supplier", "s_name"), ("customer", "c_name"))]
+    d = names[0].unionByName(names[1]).unionByName(names[2])
+    return d.select("source", "key", F.size(t.bigrams(F.col("key"))).alias("grams")).groupBy("source", "key", "grams").agg(F.count(F.lit(1)).alias("records"))
 
 
-NORM_KEYS = r"""
-with k as (select region, regexp_replace(lower(name), '[^0-9a-z가-힣]', '', 'g') as key from tagging_gt_v1 where regexp_full_match(name, '[\x00-\x7F]*'))
-select region, key, cast(case when length(key) >= 2 then len(list_distinct(list_transform(range(1, length(key)), lambda i: substr(key, i, 2)))) else length(key) end as integer) as grams, count(*) as records
+NORM_KEYS = "with k as (" + " union all ".join(f"select '{n}' as source, regexp_replace(lower({c}), '[^0-9a-z가-힣]', '', 'g') as key from {n}" for n, c in (("part", "p_name"), ("supplier", "s_name"), ("customer", "c_name"))) + """)
+select source, key, cast(case when length(key) >= 2 then len(list_distinct(list_transform(range(1, length(key)), lambda i: substr(key, i, 2)))) else length(key) end as integer) as grams, count(*) as records
 from k group by 1, 2, 3
 """
 
 
 def norm_keys_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``norm_keys`` over the names in any script; SQL has no NFKC, so there is no oracle."""
+    """Keys of all tagged names, in any script; SQL has no NFKC, so there is no oracle."""
     k = t.norm_key(F.col("name"))
     d = table(spark, sf_dir, "tagging_gt_v1").where("name is not null").select("region", k.alias("key"))
     return d.select("region", "key", F.size(t.bigrams(F.col("key"))).alias("grams")).groupBy("region", "key", "grams").agg(F.count(F.lit(1)).alias("records"))

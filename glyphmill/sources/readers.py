@@ -2,11 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import csv
+import io
+from collections.abc import Callable, Iterator
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from glyphmill.functions import geometry as g
+from glyphmill.functions.text import map_tag
 from glyphmill.operators.labels import latest
+from glyphmill.operators.lineage import cut
 
 #: Header names in the order they are tried.
 KEY_NAMES = ("image_id", "image_name", "filename")
@@ -63,12 +70,13 @@ def rescaled_truth(truth: DataFrame, sizes: DataFrame) -> DataFrame:
 
 
 def yolo_labels(lines: DataFrame, photos: DataFrame) -> DataFrame:
-    """``(photo, cls, box)`` from ``lines (photo, value)`` of ``cls xc yc w h``; ``photos (photo, w, h)``; photos without lines have none."""
+    """``(photo, cls, box)`` from ``lines (photo, value)`` of ``cls xc yc w h``; ``photos (photo, w, h)``; a photo without lines
+    has one row with a null box."""
     p = F.split(F.trim("value"), r"\s+")
     n = lambda i: F.try_element_at(p, F.lit(i + 1)).try_cast("double")
     y = F.struct(n(1).alias("xc"), n(2).alias("yc"), n(3).alias("w"), n(4).alias("h"))
-    j = lines.where(F.size(p) >= 5).join(photos, "photo")
-    return j.select("photo", n(0).cast("int").alias("cls"), g.from_yolo(y, F.col("w"), F.col("h")).alias("box"))
+    j = photos.join(lines.where(F.size(p) >= 5), "photo", "left")
+    return j.select("photo", n(0).cast("int").alias("cls"), F.when(F.col("value").isNotNull(), g.from_yolo(y, F.col("w"), F.col("h"))).alias("box"))
 
 
 def detections_json(df: DataFrame, col: str = "value") -> DataFrame:
@@ -126,9 +134,111 @@ def write_lines_csv(df: DataFrame, path: str, text: str = "gt_text") -> None:
 
 
 def numbered_samples(df: DataFrame, order: str, text: str, path: str) -> None:
-    """Key-value samples ``image-%09d`` / ``label-%09d``, numbered by ``order`` without a global sort in one task."""
-    from glyphmill.operators.ranking import rank_in_groups
-
-    n = rank_in_groups(df.withColumn("_one", F.lit(1)), ["_one"], [F.xxhash64(order), F.col(order)], "n").drop("_one")
+    """Key-value samples ``image-%09d`` / ``label-%09d`` and their number under ``num-samples``, numbered by ``order``.
+
+    The rows are range-sorted; a row's number is its place in its partition behind the sizes of the partitions before, of
+    which one row each is joined.
+    """
+    s = cut(df.orderBy(order)).withColumn("_p", F.spark_partition_id()).withColumn("_i", F.monotonically_increasing_id())
+    per = s.groupBy("_p").agg(F.count(F.lit(1)).alias("_n"), F.min("_i").alias("_first"))
+    per = per.select("_p", "_first", F.coalesce(F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    n = s.join(F.broadcast(per), "_p").withColumn("n", F.col("_i") - F.col("_first") + F.col("_before") + 1)
     kv = F.array(F.struct(F.format_string("image-%09d", "n").alias("key"), F.col(order).cast("string").alias("value")), F.struct(F.format_string("label-%09d", "n").alias("key"), F.col(text).alias("value")))
-    n.select(F.explode(kv).alias("kv")).select("kv.*").write.mode("overwrite").parquet(path)
+    count = n.agg(F.lit("num-samples").alias("key"), F.count(F.lit(1)).cast("string").alias("value"))
+    n.select(F.explode(kv).alias("kv")).select("kv.*").unionByName(count).write.mode("overwrite").parquet(path)
+
+
+def write_metrics(df: DataFrame, path: str, digits: int = 4) -> None:
+    """A CSV with a header, doubles as text with ``digits`` decimals."""
+    kinds = dict(df.dtypes)
+    df.select(*[F.format_string(f"%.{digits}f", c).alias(c) if kinds[c] == "double" else F.col(c) for c in df.columns]).write.mode("overwrite").csv(path, header=True)
+
+
+def append_rows(df: DataFrame, path: str) -> None:
+    """Rows behind those already at ``path``; every part file of a CSV folder has its own header."""
+    df.write.mode("append").csv(path, header=True)
+
+
+def concat(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """The rows of the named CSV files, by column name; a column that a file lacks is null there. No pattern is matched."""
+    out = None
+    for p in paths:
+        d = read_csv(spark, p)
+        out = d if out is None else out.unionByName(d, allowMissingColumns=True)
+    if out is None:
+        raise ValueError("no path is given")
+    return out
+
+
+def write_manifest(df: DataFrame, path: str, split: str = "split", key: str = "image_path", text: str = "text", sep: str = "\t") -> None:
+    """A trainer's list per split: one line ``key, sep, text`` per row, blanks in the text made single."""
+    line = F.concat_ws(sep, F.col(key), F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), r"\s+", " ")))
+    df.where(F.col(split).isNotNull()).select(F.col(split).alias("split"), line.alias("value")).write.mode("overwrite").partitionBy("split").text(path)
+
+
+def probed_csv(spark: SparkSession, path: str, encodings: tuple[str, ...] = ("utf-8-sig", "cp949")) -> DataFrame:
+    """CSV files in the first encoding that decodes them whole, else the last with replacement; all columns as strings.
+
+    Spark's reader knows no Korean code page, so each file is decoded and parsed in one task; the header is that of the
+    first file by name.
+    """
+
+    def decoded(data: bytes) -> str:
+        for e in encodings:
+            try:
+                return data.decode(e)
+            except UnicodeDecodeError:
+                continue
+        return data.decode(encodings[-1], "replace")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for data in batch["content"]:
+                for r in csv.DictReader(io.StringIO(decoded(bytes(data)), newline="")):
+                    yield pd.DataFrame({"row": [{k: v for k, v in r.items() if k is not None and isinstance(v, str)}]})
+
+    files = spark.read.format("binaryFile").load(path)
+    rows = files.select("content").mapInPandas(run, "row map<string, string>")
+    first = rows_of_header(files.orderBy("path").select("content").limit(1), decoded)
+    return rows.select(*[F.col("row")[c].alias(c) for c in first])
+
+
+def rows_of_header(file: DataFrame, decoded: Callable[[bytes], str]) -> list[str]:
+    """The columns of the one file in ``file (content)``."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for data in batch["content"]:
+                yield pd.DataFrame({"c": next(csv.reader(io.StringIO(decoded(bytes(data)), newline="")), [])})
+
+    return [r["c"] for r in file.mapInPandas(run, "c string").collect()]
+
+
+def shops(df: DataFrame, regions: DataFrame, names: tuple[str, ...] = ("name", "상호명"), lats: tuple[str, ...] = ("lat", "위도"), lons: tuple[str, ...] = ("lon", "경도")) -> DataFrame:
+    """``(name, lat, lon, region)`` of a shop list under any of the headers; rows without a readable place are left out."""
+    n, la, lo = pick(df, names), pick(df, lats), pick(df, lons)
+    if n is None or la is None or lo is None:
+        raise ValueError(f"no name or place among {df.columns}")
+    return in_region(df.select(F.trim(n).alias("name"), F.col(la).alias("lat"), F.col(lo).alias("lon")).where("name <> ''"), regions)
+
+
+def paged(df: DataFrame, name: str, category: str, rules: list[tuple[str, str]]) -> tuple[DataFrame, DataFrame]:
+    """``(rows, unmapped)`` of landed pages ``(value)``, each a JSON array of flat objects: names with the tag the rules give
+    their category, and the categories no rule takes with their counts."""
+    each = df.select(F.explode(F.from_json("value", "array<map<string, string>>")).alias("o")).select(F.trim(F.col("o")[name]).alias("name"), F.col("o")[category].alias("category"))
+    rows = each.where("name <> ''").withColumn("tag", map_tag(F.coalesce("category", F.lit("")), rules, lower=True))
+    return rows, rows.where("tag = ''").groupBy("category").agg(F.count(F.lit(1)).alias("rows"))
+
+
+def polygons(df: DataFrame, labels: list[str], least: float = 2.0) -> DataFrame:
+    """``(photo, label, points)`` of annotation files ``(photo, value)`` with ``shapes``: the wanted labels whose box has both
+    sides of at least ``least``."""
+    s = F.from_json("value", "struct<shapes: array<struct<label: string, points: array<array<double>>>>>")
+    e = df.select("photo", F.explode(s["shapes"]).alias("s")).select("photo", "s.label", F.transform("s.points", lambda p: F.struct(p[0].alias("x"), p[1].alias("y"))).alias("points"))
+    side = lambda c: F.array_max(F.transform("points", lambda p: p[c])) - F.array_min(F.transform("points", lambda p: p[c]))
+    return e.where(F.col("label").isin(labels) & (side("x") >= least) & (side("y") >= least))
+
+
+def flexible_box(c: Column) -> Column:
+    """A box ``[x, y, w, h]`` that is an array or the text of one; null if neither."""
+    return F.from_json(F.regexp_replace(c, r'^"|"$', ""), "array<double>")

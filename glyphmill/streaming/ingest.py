@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from glyphmill.operators.labels import latest
+from glyphmill.operators.lineage import cut
 
 
 def ingest_new(spark: SparkSession, source: str, schema: str, target: str, checkpoint: str, fmt: str = "json") -> StreamingQuery:
@@ -23,10 +24,19 @@ def maintain_latest(stream: DataFrame, key: str, ordinal: str, target: str, chec
     """
     spark = stream.sparkSession
 
+    def exists(path: str) -> bool:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path + "/_SUCCESS")
+        return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
+
     def fold(batch: DataFrame, n: int) -> None:
         new = latest(batch, key, ordinal)
-        if n:
-            new = latest(spark.read.schema(batch.schema).parquet(f"{target}/{(n - 1) % 2}").unionByName(new), key, ordinal)
+        before = f"{target}/{(n - 1) % 2}"
+        if exists(before):
+            new = latest(spark.read.schema(batch.schema).parquet(before).unionByName(new), key, ordinal)
+        elif n:
+            raise FileNotFoundError(f"{before} is gone, but batch {n} builds on it")
+        elif exists(f"{target}/{n % 2}"):  # a new checkpoint over an existing table goes on from it
+            new = cut(latest(spark.read.schema(batch.schema).parquet(f"{target}/{n % 2}").unionByName(new), key, ordinal))
         new.select(*batch.columns).write.mode("overwrite").parquet(f"{target}/{n % 2}")
 
     return stream.writeStream.foreachBatch(fold).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -187,7 +187,7 @@ def test_readers(spark, tmp_path):
     j = readers.detections_json(spark.createDataFrame([('{"p": {"size": [9, 8], "boxes": [[1, 2, 3, 4, 0.5]]}}',)], "value string")).collect()[0]
     assert (j["photo"], j["conf"], j["box"]["x1"]) == ("p", 0.5, 3.0)
     readers.numbered_samples(spark.createDataFrame([("a", "x"), ("b", "y")], "path string, text string"), "path", "text", str(tmp_path / "kv"))
-    assert spark.read.parquet(str(tmp_path / "kv")).count() == 4
+    assert spark.read.parquet(str(tmp_path / "kv")).count() == 5  # two of each sample and their number
 
 
 def test_streaming(spark, tmp_path):
@@ -224,6 +224,180 @@ def test_splits_in_any_spelling(spark, tmp_path):
     rows = [("1", "a", "Training"), ("2", "a", " VAL"), ("3", "b", "tst"), ("4", "c", "trn"), ("5", "c", "test"), ("6", None, "train"), ("7", "b", "other"), ("8", "d", None)]
     spark.createDataFrame(rows, "annotation_id string, text string, split string").write.parquet(f"{tmp_path}/crop_manifest.parquet")
     q = registry.queries()
-    assert {tuple(r) for r in q["seen_unseen_all"](spark, str(tmp_path)).select("split", "seen", "crops", "texts").collect()} == {("val", True, 1, 1), ("test", False, 1, 1), ("test", True, 1, 1)}
-    assert {tuple(r) for r in q["split_intersections_all"](spark, str(tmp_path)).select("splits", "texts").collect()} == {("train+val", 1), ("test", 1), ("test+train", 1)}
-    assert {tuple(r) for r in q["split_intersections"](spark, str(tmp_path)).select("splits", "texts").collect()} == {("test", 1)}
+    assert {tuple(r) for r in q["seen_unseen"](spark, str(tmp_path)).select("split", "seen", "crops", "texts").collect()} == {("val", True, 1, 1), ("test", False, 1, 1), ("test", True, 1, 1)}
+    assert {tuple(r) for r in q["split_intersections"](spark, str(tmp_path)).select("splits", "texts").collect()} == {("train+val", 1), ("test", 1), ("test+train", 1)}
+
+
+def test_workers(spark):
+    from glyphmill.operators import workers
+
+    df = spark.createDataFrame([(i, f"p{i}") for i in range(20)] + [(20, None)], "key int, path string")
+
+    def make():
+        tried = {}
+
+        def call(p):
+            tried[p] = tried.get(p, 0) + 1
+            if p in (None, "p3") or (p == "p4" and tried[p] < 3):
+                raise OSError(p)
+            return p.upper(), 0.5
+
+        return call
+
+    got = {r["key"]: (r["text"], r["score"]) for r in workers.run_worker(df, "key", "path", make).collect()}
+    assert len(got) == 21 and got[3] == ("", 0.0) and got[4] == ("P4", 0.5) and got[20] == ("", 0.0)
+    with pytest.raises(ValueError):
+        workers.run_worker(df, "key", "path", make, budget=20)
+    with pytest.raises(Exception, match="in a row"):
+        workers.run_worker(df.where("key = 3"), "key", "path", make, most_failures=1).collect()
+
+    def model():
+        def call(texts):
+            if len(texts) > 2 or "p5" in texts:
+                raise ValueError("too many")
+            return [[3.0, 4.0] for _ in texts]
+
+        return call
+
+    v = {r["key"]: r["embedding"] for r in workers.embed(df, "key", "path", model).collect()}
+    assert v[0] == [0.6, 0.8] and v[5] is None and v[20] is None and len(v) == 21
+
+
+def test_scoring_brute_force(spark):
+    """The counters of every crop against a plain one-pass computation."""
+    from glyphmill.operators import scoring
+
+    rng = random.Random(9)
+    words = ["가게", "커피", "bar", "No.1", "24시", "cafe", "가 게", "1588-1234", "123456789"]
+    line = lambda: " ".join(rng.choice(words) for _ in range(rng.randint(1, 3)))
+    gt = {f"c{i}": "\n".join(rng.choice([line(), line(), "###"]) for _ in range(rng.randint(0, 3))) for i in range(40)}
+    pred = {k: "\n".join(rng.choice([line(), *v.split("\n")]) for _ in range(rng.randint(0, 4))) for k, v in gt.items() if rng.random() < 0.9}
+
+    def lev(a, b, free=False):
+        row = [0] * (len(a) + 1) if free else list(range(len(a) + 1))
+        for y in b:
+            new = [row[0] + 1]
+            for j, x in enumerate(a, 1):
+                new.append(min(new[-1] + 1, row[j] + 1, row[j - 1] + (x != y)))
+            row = new
+        return min(row) if free else row[-1]
+
+    def lcs(a, b):
+        d = {}
+        for i in range(len(a)):
+            for j in range(len(b)):
+                d[i, j] = d.get((i - 1, j - 1), 0) + 1 if a[i] == b[j] else max(d.get((i - 1, j), 0), d.get((i, j - 1), 0))
+        return d.get((len(a) - 1, len(b) - 1), 0)
+
+    def form(s):
+        import re
+
+        s = re.sub(r"\d{4}-\d{4}", " ", s.lower())
+        return re.sub(r"[^0-9a-z가-힣\s]", "", s)
+
+    want = {}
+    for k, v in gt.items():
+        every = [x.strip() for x in v.split("\n") if x.strip()]
+        lines = [x for x in every if x != "###"]
+        if not lines:
+            continue
+        opened = len(lines) < len(every)
+        p = [x.strip() for x in pred.get(k, "").split("\n") if x.strip()]
+        G, P = ["".join(form(x).split()) for x in lines], ["".join(form(x).split()) for x in p]
+        pairs = sorted(((lev(y, x, opened) / max(len(x), 1), i, j, lev(y, x, opened)) for i, x in enumerate(G) for j, y in enumerate(P)), key=lambda z: z[:3])
+        got, used = {}, set()
+        for _, i, j, d in pairs:
+            if i not in got and j not in used:
+                got[i] = (j, d)
+                used.add(j)
+        c = dict.fromkeys(scoring.COUNTERS, 0)
+        c["crops"], c["empty"], whole = 1, int(not pred.get(k, "").strip()), "".join(form(pred.get(k, "")).split())
+        for i, x in enumerate(G):
+            j, d = got.get(i, (None, len(x)))
+            gw, pw = form(lines[i]).split(), form(p[j]).split() if j is not None else []
+            for name, n in (("lines", 1), ("letters", len(x)), ("edits", d), ("exact", j is not None and x and d == 0), ("recalled", len(x) > 0 and d < len(x)), ("contained", bool(x) and x in whole), ("words", len(gw)), ("common_words", lcs(pw, gw)), ("word_edits", lev(pw, gw))):
+                c[name] += int(bool(n)) if name in ("exact", "recalled", "contained") else n
+        if not opened:
+            c["extra_edits"] = sum(len(P[j]) for j in range(len(P)) if j not in used)
+            c["extra_words"] = sum(len(form(p[j]).split()) for j in range(len(P)) if j not in used)
+        want[k] = c
+    mk = lambda d: spark.createDataFrame(list(d.items()), "image_name string, text string")
+    rows = scoring.crop_counters(mk(gt), mk(pred), "image_name").collect()
+    assert {r["image_name"]: {c: r[c] for c in scoring.COUNTERS} for r in rows} == want
+
+
+def test_false_positives_and_limits(spark):
+    """A false positive reports the best truth that was free at its turn; a round limit that is reached is an error."""
+    from glyphmill.operators import matching
+
+    box = "struct<x0: double, y0: double, x1: double, y1: double>"
+    truth = spark.createDataFrame([("p", "g", (0.0, 0.0, 10.0, 10.0))], f"key string, b string, box {box}")
+    pred = spark.createDataFrame([("p", "A", (6.0, 0.0, 16.0, 10.0), 0.9), ("p", "B", (2.0, 0.0, 12.0, 10.0), 0.5)], f"key string, a string, box {box}, conf double")
+    got = {r["a"]: (r["status"], round(r["iou"], 3)) for r in matching.match_boxes(pred, truth, "key", 0.5).collect()}
+    assert got == {"A": ("FP", 0.25), "B": ("TP", 0.667)}
+    chain = spark.createDataFrame([("p", i, (4.0 * i, 0.0, 4.0 * i + 10, 10.0), "n") for i in range(6)], f"key string, id int, box {box}, by string")
+    assert sorted(r["id"] for r in matching.suppress(chain, "key", [F.col("id")], 0.3).collect()) == [0, 2, 4]
+    with pytest.raises(RuntimeError):
+        matching.suppress(chain, "key", [F.col("id")], 0.3, most_rounds=1)
+    pairs = spark.createDataFrame([("p", i, j, abs(i - j) + 0.1 * i) for i in range(6) for j in range(6)], "key string, a int, b int, d double")
+    with pytest.raises(RuntimeError):
+        matching.greedy_match(pairs, ["key"], [F.col("d")], most_rounds=1)
+    by = chain.withColumn("by", F.concat(F.lit("m"), F.col("id").cast("string")))
+    assert {r["id"]: r["by"] for r in matching.merge_boxes(by, "key", [F.col("id")], 0.3, "by").collect()} == {0: ["m0", "m1"], 2: ["m2", "m3"], 4: ["m4", "m5"]}
+
+
+def test_average_precision_101(spark):
+    import numpy as np
+
+    rng = random.Random(5)
+    rows, want = [], {}
+    for g in range(8):
+        total, hits = rng.randint(1, 30), []
+        left = total
+        for i in range(rng.randint(1, 40)):
+            hit = left > 0 and rng.random() < 0.5
+            left -= hit
+            hits.append(hit)
+            rows.append((f"g{g}", 1 - i / 100, hit, i, total))
+        tp = np.cumsum(hits)
+        r, p = np.concatenate([[0], tp / total, [1]]), np.concatenate([[1], tp / np.arange(1, len(hits) + 1), [0]])
+        p = np.maximum.accumulate(p[::-1])[::-1]
+        want[f"g{g}"] = float(np.trapezoid(np.interp(np.linspace(0, 1, 101), r, p), np.linspace(0, 1, 101)))
+    df = spark.createDataFrame(rows, "g string, s double, hit boolean, tie int, total int")
+    totals = df.groupBy("g").agg(F.max("total").alias("total"))
+    got = {r["g"]: r["ap_101"] for r in metrics.average_precision(df.drop("total"), "g", "s", "hit", "tie", totals).collect()}
+    assert set(got) == set(want) and all(abs(got[k] - want[k]) < 1e-9 for k in want)
+
+
+def test_sources_and_sinks(spark, tmp_path):
+    photos = spark.createDataFrame([("a", 100, 50), ("b", 10, 10)], "photo string, w int, h int")
+    got = {r["photo"]: r["box"] for r in readers.yolo_labels(spark.createDataFrame([("a", "0 0.5 0.5 0.2 0.4")], "photo string, value string"), photos).collect()}
+    assert got["b"] is None and tuple(got["a"]) == (40, 15, 60, 35)
+    df = spark.createDataFrame([(f"i{i:03d}", f"t{i}", "train" if i % 3 else "val") for i in range(50)], "image_path string, text string, split string")
+    readers.numbered_samples(df.repartition(5), "image_path", "text", str(tmp_path / "kv"))
+    kv = {r["key"]: r["value"] for r in spark.read.parquet(str(tmp_path / "kv")).collect()}
+    assert kv["num-samples"] == "50" and all(kv[f"image-{n + 1:09d}"] == f"i{n:03d}" and kv[f"label-{n + 1:09d}"] == f"t{n}" for n in range(50))
+    readers.write_manifest(df, str(tmp_path / "m"))
+    assert spark.read.text(str(tmp_path / "m")).where("split = 'val'").count() == 17
+    for i in range(2):
+        readers.append_rows(df.limit(2), str(tmp_path / "a"))
+    assert readers.read_csv(spark, str(tmp_path / "a")).count() == 4
+    readers.write_metrics(spark.createDataFrame([("x", 1 / 3)], "e string, cer double"), str(tmp_path / "s"))
+    assert readers.read_csv(spark, str(tmp_path / "s")).collect()[0]["cer"] == "0.3333"
+    (tmp_path / "k.csv").write_bytes("상호명,위도,경도\n가게,37.5,127.0\n나쁨,x,1\n".encode("cp949"))
+    regions = spark.createDataFrame([("r", 37.0, 38.0, 126.0, 128.0)], "region string, lat0 double, lat1 double, lon0 double, lon1 double")
+    assert [tuple(r) for r in readers.shops(readers.probed_csv(spark, str(tmp_path / "k.csv")), regions).select("name", "region").collect()] == [("가게", "r")]
+    (tmp_path / "l.csv").write_text("a,b\n1,2\n")
+    assert readers.concat(spark, [str(tmp_path / "k.csv"), str(tmp_path / "l.csv")]).count() == 3
+    rows, unmapped = readers.paged(spark.createDataFrame([('[{"n": "A", "c": "Coffee Shop"}, {"n": "B", "c": "Odd"}, {"c": "x"}]',)], "value string"), "n", "c", [("coffee", "amenity=cafe")])
+    assert {(r["name"], r["tag"]) for r in rows.collect()} == {("A", "amenity=cafe"), ("B", "")} and unmapped.collect()[0]["category"] == "Odd"
+    shapes = spark.createDataFrame([("p", '{"shapes": [{"label": "sign", "points": [[0, 0], [9, 9]]}, {"label": "sign", "points": [[0, 0], [1, 9]]}, {"label": "x", "points": [[0, 0], [9, 9]]}]}')], "photo string, value string")
+    assert readers.polygons(shapes, ["sign"]).count() == 1
+    assert one(spark, readers.flexible_box(F.lit('"[1, 2, 3, 4]"')), readers.flexible_box(F.lit("[1, 2, 3, 4]")))[0:2] == ([1, 2, 3, 4], [1, 2, 3, 4])
+    rows = spark.createDataFrame([("k", "a", "1")], "id string, tag string, eval_tag string")
+    d = spark.createDataFrame([("k", "b", None)], "id string, new_tag string, new_eval string")
+    assert labels.apply_checked(rows, rows.select("id"), d, "id").collect()[0]["tag"] == "b"
+    with pytest.raises(ValueError):
+        labels.apply_checked(rows, rows.select("id"), d.limit(0), "id")
+    q = one(spark, g.pad_quad(F.array(*[F.struct(F.lit(float(x)).alias("x"), F.lit(float(y)).alias("y")) for x, y in ((0, 0), (10, 0), (10, 10), (0, 10))]), 0.2, F.lit(11), F.lit(50)))[0]
+    assert [(p["x"], p["y"]) for p in q] == [(0, 0), (10, 0), (10, 11), (0, 11)]
