@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Letters of other scripts that look like a Latin letter.
-LOOKALIKE_FROM = "АВЕЅІЈКМНОРСТУХҮԁаеѕіјорсухһԛԝΑΒΕΖΗΙΚΜΝΟΡΤΥΧοϲϳ"
-LOOKALIKE_TO__ = "ABESIJKMHOPCTYXYdaesijopcyxhqwABEZHIKMNOPTYXocj"
+LOOKALIKE_FROM = "АВЕЅІЈКМНОРСТУХҮԁаеѕіјорсухһԛԝΑΒΕΖΗΙΚΜΝΟΡΤΥΧοϲϳᎪᎫᎬᎳᎷᎻᏃᏒᏙᏚᏞᏟᏢᏦᏴ"
+LOOKALIKE_TO__ = "ABESIJKMHOPCTYXYdaesijopcyxhqwABEZHIKMNOPTYXocjAJEWMHZRVSLCPKB"
 
 #: Characters that show as nothing at all.
 INVISIBLE = [0x00AD, 0x034F, 0x061C, 0x180E, *range(0x200B, 0x2010), *range(0x202A, 0x202F), *range(0x2060, 0x2065), 0xFEFF]
@@ -27,11 +27,12 @@ _PICTURE = regex.compile(r"\p{Extended_Pictographic}")
 
 
 def rules() -> Iterator[tuple[str, str]]:
-    """``(sequence, form)`` from rules: widths, font variants and letter symbols, blanks, nothing, accents, Hangul letters."""
+    """``(sequence, form)`` from rules: widths, font variants, letters in circles and joined letters, letter symbols, blanks, nothing, accents, Hangul letters."""
     for o in range(0xA0, 0x1F000):
         c = chr(o)
         kind = unicodedata.decomposition(c).split(" ")[0]
-        if kind in ("<wide>", "<narrow>", "<font>") or (kind and kind[0] != "<" and len(unicodedata.normalize("NFC", c)) == 1 and unicodedata.normalize("NFC", c) != c):
+        letters = kind == "<circle>" and 0x24B6 <= o <= 0x24E9 or kind == "<compat>" and 0xFB00 <= o <= 0xFB06
+        if kind in ("<wide>", "<narrow>", "<font>") or letters or (kind and kind[0] != "<" and len(unicodedata.normalize("NFC", c)) == 1 and unicodedata.normalize("NFC", c) != c):
             yield c, unicodedata.normalize("NFC", unicodedata.normalize("NFKC", c))
         elif unicodedata.category(c) == "Zs":
             yield c, " "

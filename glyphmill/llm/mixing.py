@@ -84,12 +84,15 @@ def running_total(df: DataFrame, groups: list[str], order: list[Column], value:
     return keyed.join(n, on).withColumn(out, F.col("_s") + F.col("_before")).drop("_h", "_b", "_b2", "_s", "_before", *names.values())
 
 
-def mix(documents: DataFrame, targets: DataFrame, total: float | None = None, seed: int = 7, path: str | None = None) -> tuple[DataFrame, DataFrame]:
+def mix(documents: DataFrame, targets: DataFrame, total: float | str | None = None, seed: int = 7, path: str | None = None, target_entropy: float | None = None) -> tuple[DataFrame, DataFrame]:
     """``(drawn, shares)``: ``drawn (source, doc_id, tokens, uses)`` and what each source makes up.
 
     ``targets`` is ``(source, target_share, max_repeats)``. Without ``total`` the mix is as large as the repetition
     limits allow with every source that has text at its exact target share; with it, weights are tempered (see
-    ``weights_within``) until ``total`` tokens fit. A source whose share is wanted but that has no tokens gives
+    ``weights_within``) until ``total`` tokens fit; ``"corpus"`` stands for the tokens that the wanted sources hold. With
+    ``target_entropy`` (in nats) the wanted shares are replaced by the sources' own token shares raised to the exponent
+    that gives them this entropy, or the nearest they can have; it is reported instead of the exponent of the limit, which
+    then also applies. A source whose share is wanted but that has no tokens gives
     nothing, its share is spread over the others in proportion, and the report shows 0. Whole passes over a source
     come first; the rest of its budget is a prefix of a permutation in hash blocks and the one document whose size comes
     nearest to what the prefix leaves. Documents without tokens and of sources without a target are not drawn; a null
@@ -104,11 +107,19 @@ def mix(documents: DataFrame, targets: DataFrame, total: float | None = None, se
     rows = goal.join(have, "source", "left").orderBy("source").collect()
     share = [float(r["share"]) for r in rows]
     held = [int(r["have"] or 0) for r in rows]
+    heat = None
+    if target_entropy is not None and sum(held):
+        own = [h / sum(held) for h in held]
+        heat = exponent_for_entropy(own, target_entropy)
+        share = tempered(own, heat)
+    if total == "corpus":
+        total = float(sum(held))
     room = [h * max(int(r["most"]), 0) for h, r in zip(held, rows, strict=True)]
     live = sum(s for s, r in zip(share, room, strict=True) if r > 0)
     most = min((r * live / s for s, r in zip(share, room, strict=True) if r > 0), default=0.0)
     weights, exponent = weights_within(share, room, most if total is None else total)
     size = min(most if total is None else total, float(sum(room)))
+    exponent = exponent if heat is None else heat
     plan = []
     for r, w, h, top in zip(rows, weights, held, room, strict=True):
         budget = min(w * size, float(top))

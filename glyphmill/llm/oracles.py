@@ -22,7 +22,7 @@ t as (select comp from g where s in ('train', 'training', 'trn', 'val', 'valid',
 
 P1_FOUND = KEYED + "select node as source_image_id from c where comp in (select comp from t)"
 
-ODD = "[\\x{00A0}\\x{00AD}\\x{0300}-\\x{036F}\\x{1100}-\\x{11FF}\\x{2000}-\\x{200F}\\x{202F}\\x{205F}-\\x{2064}\\x{212A}\\x{3000}\\x{FEFF}\\x{FF01}-\\x{FFEE}]"
+ODD = "[\\x{00A0}\\x{00AD}\\x{0300}-\\x{036F}\\x{1100}-\\x{11FF}\\x{2000}-\\x{200F}\\x{202F}\\x{205F}-\\x{2064}\\x{212A}\\x{24B6}-\\x{24E9}\\x{3000}\\x{FB00}-\\x{FB06}\\x{FEFF}\\x{FF01}-\\x{FFEE}]"
 ALIKE = f"[{LOOKALIKE_FROM}]"
 MIXED = f"{ODD}|\\p{{Latin}}[\\p{{L}}\\p{{M}}]*{ALIKE}|{ALIKE}[\\p{{L}}\\p{{M}}]*\\p{{Latin}}"
 P3_FOUND = f"""

@@ -84,6 +84,16 @@ def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"))[1]
 
 
+def p8_tempered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The report of a mix as large as the corpus: the targets do not fit the repetition limits, so they are tempered."""
+    return mixing.mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"), total="corpus")[1]
+
+
+def p8_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The report of a mix as large as the corpus whose shares are the sources' own, flattened to an entropy of 2.2 nats."""
+    return mixing.mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"), total="corpus", target_entropy=2.2)[1]
+
+
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return template_residue.residue(table(spark, sf_dir, "documents")).where("found").select("doc_id").distinct()
 
@@ -111,6 +121,8 @@ QUERIES = {
     "p7_fill": p7_fill,
     "p8_drawn": p8_drawn,
     "p8_shares": p8_shares,
+    "p8_tempered": p8_tempered,
+    "p8_entropy": p8_entropy,
     "p9_found": p9_found,
     "p9_clean": p9_clean,
 }

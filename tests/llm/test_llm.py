@@ -104,6 +104,7 @@ def test_p3_forms(spark):
     t = lookalikes.Transducer()
     cases = {
         "Ｇｒｉｌｌ": "Grill", "Cafe\u0301": "Café", "\u1100\u1161\u11a8": "각", "a\u200bb\u00a0c": "ab c", "\u039aIT\u0421HEN": "KITCHEN", "\u212aitchen": "Kitchen", "A\\n\u0416\u0430": "A\\n\u0416\u0430",
+        "ﬁne": "fine", "Ⓒafe": "Cafe", "Ꮯafe": "Cafe", "ᏣᎳᎩ": "ᏣᎳᎩ",
         "Жалюзи": "Жалюзи", "Ωλδίφος": "Ωλδίφος", "Piñaro": "Piñaro", "雲山茶舗": "雲山茶舗", "": "", "ㅁㄴㅇㄹ": "ㅁㄴㅇㄹ", "\U0001f468\u200d\U0001f469": "\U0001f468\u200d\U0001f469",
     }
     for x, y in cases.items():
@@ -205,6 +206,10 @@ def test_p8_mixing(spark):
     drawn, shares = mixing.mix(docs(spark, rows), t, total=1e9)
     assert {r["source"]: r["most_uses"] for r in shares.collect()}["small"] <= 3
     assert mixing.mix(docs(spark, rows).limit(0), t)[0].count() == 0 and mixing.mix(docs(spark, rows), t.limit(0))[1].count() == 0
+    hot = {r["source"]: r for r in mixing.mix(docs(spark, rows), t, total="corpus")[1].collect()}
+    assert hot["small"]["exponent"] < 1 and hot["small"]["most_uses"] <= 3 and sum(r["tokens"] for r in hot.values()) > 0.9 * sum(3 * (1 + i % 5) for i in range(400))
+    even = {r["source"]: r for r in mixing.mix(docs(spark, rows), t, target_entropy=0.69)[1].collect()}
+    assert even["big"]["exponent"] < 0.2 and abs(even["big"]["share"] - even["small"]["share"]) < 0.2
     x = mixing.exponent_for_entropy([0.7, 0.2, 0.1], 1.0)
     assert mixing.entropy(mixing.tempered([0.7, 0.2, 0.1], x)) == pytest.approx(1.0, abs=1e-6)
 
