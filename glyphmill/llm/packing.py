@@ -11,6 +11,9 @@ from glyphmill.operators.ranking import rank_in_groups
 from glyphmill.llm.tokens import token_counts
 from glyphmill.operators.lineage import cut
 
+#: Ranks of one size are joined with their moves in blocks of 2 to this power.
+RANK_BLOCK = 10
+
 
 def best_fit(sizes: dict[int, int], capacity: int) -> tuple[list[tuple[int, int, int, int]], int]:
     """``(moves, containers)`` for a histogram of item sizes, all at most ``capacity``.
@@ -83,11 +86,13 @@ def pack(documents: DataFrame, containers: DataFrame, key: str = "doc_id", text:
         moves, opened = best_fit(hist, cap)
         plan = spark.createDataFrame(moves, "size long, first_rank long, first_bin long, n long") if moves else spark.createDataFrame([], "size long, first_rank long, first_bin long, n long")
         ranked = rank_in_groups(items.where("tokens > 0"), ["tokens"], [F.xxhash64(key, "piece"), F.col(key), F.col("piece")], "_rank")
-        # moves of a size follow each other in rank, so the move of a document is the last that starts at or before it
-        runs = plan.groupBy("size").agg(F.sort_array(F.collect_list(F.struct("first_rank", "first_bin"))).alias("runs"))
-        own = ranked.join(runs, ranked.tokens == runs["size"])
-        at = F.expr("element_at(filter(runs, r -> r.first_rank <= _rank), -1)")
-        own = own.withColumn("_at", at).select(key, "piece", "first_token", "tokens", (F.col("_at.first_bin") + F.col("_rank") - F.col("_at.first_rank")).alias("bin"))
+        # a move holds a span of the ranks of its size; spans and documents meet in blocks of ranks, so a size that many
+        # documents share is spread over its blocks and each document sees only the moves of its own
+        block = lambda c: F.shiftright(c, RANK_BLOCK)
+        spans = plan.withColumn("_block", F.explode(F.sequence(block(F.col("first_rank")), block(F.col("first_rank") + F.col("n") - 1))))
+        own = ranked.withColumn("_block", block(F.col("_rank"))).join(spans.withColumnRenamed("size", "tokens"), ["tokens", "_block"])
+        own = own.where((F.col("_rank") >= F.col("first_rank")) & (F.col("_rank") < F.col("first_rank") + F.col("n")))
+        own = own.select(key, "piece", "first_token", "tokens", (F.col("first_bin") + F.col("_rank") - F.col("first_rank")).alias("bin"))
         none = items.where("tokens = 0").withColumn("bin", F.pmod(F.xxhash64(key), F.lit(max(opened, 1))))
         both = own.unionByName(none).select(F.lit(row["container"]).alias("container"), (F.col("bin") + 1).alias("bin"), key, "piece", "first_token", "tokens")
         found = both if found is None else found.unionByName(both)
