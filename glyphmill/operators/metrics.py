@@ -105,3 +105,11 @@ def best_engine(readings: DataFrame, key: list[str]) -> DataFrame:
     r = readings.withColumn("edits", F.levenshtein("truth", "pred")).withColumn("_r", F.col("edits") / F.greatest(F.length("truth"), F.lit(1)))
     best = r.groupBy(*key).agg(F.min_by(F.struct("engine", "edits"), F.struct("_r", "engine")).alias("_b"))
     return best.select(*key, F.col("_b.engine").alias("engine"), F.col("_b.edits").alias("edits"))
+
+
+def best_value(df: DataFrame, part: str, by: list[str]) -> DataFrame:
+    """``(*by, metric, best)``: the highest value of the first column whose name holds ``part``."""
+    name = next((c for c in df.columns if part in c), None)
+    if name is None:
+        raise ValueError(f"no column holds {part!r}")
+    return df.groupBy(*by).agg(F.lit(name).alias("metric"), F.max(name).alias("best"))

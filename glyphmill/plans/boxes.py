@@ -102,11 +102,30 @@ def nms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def line_grouping(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Detected words of a match photo as lines in reading order, by their numbers."""
-    m = table(spark, sf_dir, "e2e_match_gangnam").where("det_crop is not null and conf is not null").select("photo", "det_crop", "iou", "conf").distinct()
-    p = F.struct((F.col("conf") * 100).alias("y"), (F.col("iou") * 100).alias("x"), F.xxhash64("det_crop").alias("id"))
-    lines = m.groupBy("photo").agg(matching.group_lines(F.collect_list(p), F.lit(12.0)).alias("lines"), F.count(F.lit(1)).alias("words"))
-    return lines.select("photo", F.size("lines").alias("lines"), "words")
+    """The word boxes that lie on a line box, grouped into rows within 0.6 of their mean height, in reading order."""
+    c = _boxed(spark, sf_dir)
+    words = c.where("class = 'word'").select("source_image_id", F.col("annotation_id").alias("a"), "box")
+    lines = c.where("class = 'line'").select("source_image_id", F.col("annotation_id").alias("b"), "box")
+    on = matching.overlap_join(words, lines, "source_image_id").join(words, ["source_image_id", "a"])
+    p = F.struct(((F.col("box.y0") + F.col("box.y1")) / 2).alias("y"), F.col("box.x0").alias("x"), F.col("a").cast("bigint").alias("id"))
+    per = on.groupBy("source_image_id", "b").agg(F.collect_list(p).alias("p"), F.avg(F.col("box.y1") - F.col("box.y0")).alias("h"), F.count(F.lit(1)).alias("words"))
+    rows = matching.group_lines(F.col("p"), F.col("h") * 0.6)
+    return per.select("source_image_id", "b", F.size(rows).alias("rows"), "words", F.array_join(F.transform(F.flatten(rows), lambda i: i.cast("string")), " ").alias("order"))
+
+
+#: Rows as a recursion over the words of a line box by centre: each joins the first row whose mean is near, else starts one.
+LINE_GROUPING = CROPS.replace("with c", "with recursive c") + """, o as (select a.source_image_id, b.annotation_id as b, a.annotation_id as a, a.y + a.h / 2 as y, a.x as x, a.h as h
+  from c a join c b on a.source_image_id = b.source_image_id and a.class = 'word' and b.class = 'line' and a.x < b.x + b.w and b.x < a.x + a.w and a.y < b.y + b.h and b.y < a.y + a.h),
+s as (select *, row_number() over (partition by source_image_id, b order by y, x, a::bigint) as n, avg(h) over (partition by source_image_id, b) * 0.6 as tol from o),
+r as (select source_image_id, b, 0::bigint as n, cast([] as double[]) as m, cast([] as bigint[]) as k, cast([] as integer[]) as sq from (select distinct source_image_id, b from s)
+  union all select source_image_id, b, n, case when hit > len(m) then list_append(m, y) else list_transform(m, lambda v, i: case when i = hit then (v * k[i] + y) / (k[i] + 1) else v end) end,
+    case when hit > len(m) then list_append(k, 1) else list_transform(k, lambda v, i: case when i = hit then v + 1 else v end) end, list_append(sq, hit)
+  from (select r.source_image_id, r.b, s.n, r.m, r.k, r.sq, s.y, coalesce(list_position(list_transform(r.m, lambda v: abs(v - s.y) <= s.tol), true), len(r.m) + 1)::integer as hit
+    from r join s on s.source_image_id = r.source_image_id and s.b = r.b and s.n = r.n + 1)),
+l as (select * from r qualify row_number() over (partition by source_image_id, b order by n desc) = 1),
+w as (select s.source_image_id, s.b, s.a, s.x, l.sq[s.n] as rw, l.m[l.sq[s.n]] as mean, len(l.m) as rows from s join l on l.source_image_id = s.source_image_id and l.b = s.b)
+select source_image_id, b, cast(any_value(rows) as integer) as rows, count(*) as words, string_agg(a::bigint::varchar, ' ' order by mean, rw, x, a::bigint) as "order" from w group by 1, 2
+"""
 
 
 def gap_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -175,4 +194,4 @@ from h join n using (region) where conf >= 0.25 group by region, total
 """
 
 QUERIES = {f.__name__: f for f in (box_filters, box_coords, box_stripes, iou_join, greedy_box_match, nms, line_grouping, gap_segments, ap_curves, pr_at_conf)}
-ORACLES = {"box_filters": BOX_FILTERS, "box_coords": BOX_COORDS, "box_stripes": BOX_STRIPES, "iou_join": IOU_JOIN, "gap_segments": GAP_SEGMENTS, "ap_curves": AP_CURVES, "pr_at_conf": PR_AT_CONF}
+ORACLES = {"box_filters": BOX_FILTERS, "box_coords": BOX_COORDS, "box_stripes": BOX_STRIPES, "iou_join": IOU_JOIN, "line_grouping": LINE_GROUPING, "gap_segments": GAP_SEGMENTS, "ap_curves": AP_CURVES, "pr_at_conf": PR_AT_CONF}

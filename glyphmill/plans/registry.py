@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from glyphmill.plans import boxes, detection, multivalue, records, reviews, scores, texts
+from glyphmill.plans import boxes, detection, extras, multivalue, records, reviews, scores, texts
 
 Query = Callable[[SparkSession, str], DataFrame]
-MODULES = (records, texts, boxes, detection, scores, reviews, multivalue)
+MODULES = (records, texts, boxes, detection, scores, reviews, extras, multivalue)
 
 
 def queries() -> dict[str, Query]:
