@@ -60,10 +60,11 @@ HINTS = ("your %s", "insert %s", "enter %s", "%s here", "add %s", "fill in %s",
 GAP = regex.compile(
     r"\{\{+[#/^&!>]?\s*[\p{L}_][^{}\n\"]{0,60}\}\}+|\$\{\s*[\p{L}_][^{}\n\"]{0,60}\}|#\{\s*[\p{L}_][^{}\n\"]{0,60}\}"
     r"|\{%[^%{}\n]{1,60}%\}|<%[=-]?[^%<>\n]{1,60}%>|<<\s*[\p{L}_][^<>\n]{0,60}>>|\[\[\s*[\p{L}_][^\[\]\n]{0,60}\]\]"
-    r"|@@[\p{L}_][\p{L}\p{N}_ ]{0,40}@@|%%[\p{L}_][\p{L}\p{N}_ ]{0,40}%%|%\([\p{L}_][\p{L}\p{N}_ ]{0,40}\)s|(?<![\p{L}\p{N}_])__[\p{L}][\p{L}\p{N}_ ]{0,40}?__(?![\p{L}\p{N}_])"
-    r"|(?<![{$#])\{\s*[\p{L}_][\p{L}\p{N}_. ]{0,40}\}(?!\})|(?<![\p{L}\p{N}%])%[\p{Lu}][\p{Lu}\p{N}_]{1,40}%(?![\p{L}\p{N}%])"
+    r"|@@[\p{L}_][\p{L}\p{N}_ ]{0,40}@@|%%[\p{L}_][\p{L}\p{N}_ ]{0,40}%%|%\([\p{L}_][\p{L}\p{N}_ ]{0,40}\)s|(?<![A-Za-z0-9_])__[\p{L}][\p{L}\p{N}_ ]{0,40}?__(?![A-Za-z0-9_])"
+    r"|(?<![{$#])\{\s*[\p{L}_][\p{L}\p{N}_. ]{0,40}\}(?!\})|(?<![A-Za-z0-9%])%[\p{Lu}][\p{Lu}\p{N}_]{1,40}%(?![A-Za-z0-9%])"
+    r"|\*\|[\p{L}_][\p{L}\p{N}_:. ]{0,40}\|\*|(?<![\p{L}\p{N}$])\$[\p{L}_][\p{L}\p{N}_]{1,40}\$|(?<![\p{L}\p{N}$])\$[\p{Lu}][\p{Lu}_]{2,40}(?![A-Za-z0-9$])"
 )
-HINTED = regex.compile(r"(?<!\[)\[\s*([\p{L}][^\[\]\n\"]{1,60})\](?!\])|(?<!<)<\s*([\p{L}][^<>\n\"=/]{1,60})>(?!>)|\(\s*([\p{L}][^()\n\"]{1,30}(?:\([^()\n]{1,4}\))?[^()\n\"]{1,40})\)")
+HINTED = regex.compile(r"(?<!\[)\[\s*([\p{L}][^\[\]\n\"]{1,60})\](?!\])|(?<!<)<\s*([\p{L}][^<>\n\"=/]{1,60})>(?!>)|\(\s*([\p{L}][^()\n\"]{1,30}(?:\([^()\n]{1,4}\))?[^()\n\"]{1,40})\)|«\s*([\p{L}][^«»\n\"]{1,40}?)\s*»")
 QUOTES = "\"“”'‘’`«»「」『』"
 FIELD_SET = frozenset(FIELDS.split("|"))
 HINT_WORD = regex.compile("|".join(sorted({rf"(?<![a-z]){regex.escape(w)}(?![a-z])" for h in HINTS for w in h.replace("%s", " ").split()}, key=len, reverse=True)), regex.IGNORECASE)
@@ -188,10 +189,11 @@ def gaps(text: str, hints: np.ndarray) -> list[tuple[int, int]]:
         inside = next(g for g in m.groups() if g)
         if m.group(2) and MARKUP.fullmatch(inside.strip()):
             continue
-        if m.group(3) and not HINT_WORD.search(inside):  # round brackets are ordinary punctuation
+        field = inside.strip().lower().replace("_", " ") in FIELD_SET
+        if (m.group(3) or m.group(4) and not field) and not HINT_WORD.search(inside):  # round brackets and guillemets are ordinary punctuation
             continue
         scores = [hints[s].mean() for s in slots(_codes(inside)) if len(s)]
-        if (scores and sum(scores) / len(scores) > 0) or (m.group(2) and inside.strip().lower() in FIELD_SET):
+        if (scores and sum(scores) / len(scores) > 0) or ((m.group(2) or m.group(4)) and field):
             found.append(m.span())
     return found
 

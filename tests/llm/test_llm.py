@@ -219,8 +219,9 @@ def test_p9_residue(spark):
     bad = {
         1000: "Dear {{ owner }}, thank you for the photo.", 1001: "Lorem ipsum dolor sit amet consectetur. Sed eiusmod tempor magna.", 1002: natural[3] + "\nYou need to enable JavaScript to continue.",
         1003: "오류 404\n요청하신 페이지를 찾을 수 없습니다.", 1004: "검수: [전화번호을 입력하세요]", 1005: "x {{name}} " * 20000,
+        1006: "Seen by *|REVIEWER|*.", 1007: "$OWNER$ 근처에서 찍었다.", 1008: "검수: «owner» 간판은 낮다.", 1009: "왼쪽 판에서 __SHOP_NAME__까지 읽었다.", 1010: "Ask $PHONE first.",
     }
-    fine = {2000: None, 2001: "", 2002: 'The engine gave {"name": "Bar", "tag": "shop=books"} and the set {red, blue}.', 2003: "The third word is [illegible] (see photo 3) <3.", 2004: natural[0] * 500}
+    fine = {2000: None, 2001: "", 2002: 'The engine gave {"name": "Bar", "tag": "shop=books"} and the set {red, blue}.', 2005: "El rótulo «Casa Pepe» cuesta $20 y 5$ más; US$ALE.", 2003: "The third word is [illegible] (see photo 3) <3.", 2004: natural[0] * 500}
     rows = [(i, t, "s") for i, t in enumerate(natural)] + [(k, v, "s") for k, v in [*bad.items(), *fine.items(), (1000, bad[1000])]]
     got = {r["doc_id"] for r in template_residue.residue(docs(spark, rows)).where("found").collect()}
     assert got == set(bad)
