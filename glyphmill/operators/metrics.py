@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from glyphmill.operators.lineage import cut
+
 
 def ratio(num: Column, den: Column) -> Column:
     """``num / den``, 0 where the denominator is 0 or null."""
@@ -36,7 +38,8 @@ def curve(hits: DataFrame, group: str, score: str, hit: str, tie: str, bits: int
     tops = full.groupBy(group, "_b").agg(F.max("precision").alias("m"))
     after = Window.partitionBy(group).orderBy(F.col("_b").desc()).rowsBetween(1, Window.unboundedFollowing)
     tops = tops.select(F.col(group).alias("_g"), F.col("_b").alias("_b2"), F.coalesce(F.max("m").over(after), F.lit(0.0)).alias("_m0"))
-    here = Window.partitionBy(group, "_b").orderBy(*order).rowsBetween(0, Window.unboundedFollowing)
+    # from the far end up to here: a frame that grows is added up once, one that shrinks would be read anew for each row
+    here = Window.partitionBy(group, "_b").orderBy(F.col("_s"), F.col(tie).desc()).rowsBetween(Window.unboundedPreceding, 0)
     out = full.withColumn("_m", F.max("precision").over(here)).join(tops, same(full, tops, [(group, "_g"), ("_b", "_b2")]))
     return out.withColumn("envelope", F.greatest("_m", "_m0")).drop("_s", "_b", "_g", "_b2", "_m", "_m0")
 
@@ -76,7 +79,7 @@ def average_precision(hits: DataFrame, group: str, score: str, hit: str, tie: st
     The last is the trapezoid sum over 101 recalls of the envelope read linearly between the points of the curve, which
     begins at (0, 1) and ends at (1, 0). ``totals (group, total)`` counts the truth; a group without truth or hits has 0.
     """
-    full = curve(hits, group, score, hit, tie).join(totals, group)
+    full = cut(curve(hits, group, score, hit, tie).join(totals, group).select(group, hit, "cum_tp", "precision", "envelope", "total"))
     c = full.where((F.col("total") > 0) & F.col(hit)).withColumn("recall", F.col("cum_tp") / F.col("total"))
     s = c.groupBy(group).agg(F.sum(F.col("envelope") / F.col("total")).alias("ap_all"), F.sum(F.col("precision") / F.col("total")).alias("ap_step"))
     s = s.join(_trapezoid_101(full, group, hit, totals), group, "full")

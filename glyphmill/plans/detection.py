@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from glyphmill.functions import geometry as g
 from glyphmill.functions import text as t
 from glyphmill.operators import matching, metrics
+from glyphmill.operators.lineage import cut
 from glyphmill.plans.boxes import CROPS, HEIGHT, WIDTH, _boxed, _crops, ap_sql
 from glyphmill.sources.tables import table
 
@@ -28,7 +29,7 @@ def _ap_by(m: DataFrame, group: str) -> DataFrame:
 def fold_ap(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Average precision per fold, their plain and truth-weighted mean, and that of all folds pooled."""
     m = _matches(spark, sf_dir).withColumn("fold", F.col("fold").cast("string"))
-    per = _ap_by(m, "fold")
+    per = cut(_ap_by(m, "fold"))
     pooled = _ap_by(m.where("fold is not null").withColumn("fold", F.lit("pooled")), "fold")
     mean = per.agg(F.lit("mean").alias("fold"), *[F.avg(c).alias(c) for c in ("ap_all", "ap_step", "ap_101")], F.sum("total").alias("total"))
     heavy = per.agg(F.lit("weighted").alias("fold"), *[(F.sum(F.col(c) * F.col("total")) / F.sum("total")).alias(c) for c in ("ap_all", "ap_step", "ap_101")], F.sum("total").alias("total"))
@@ -47,7 +48,7 @@ def match_then_ap(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = _boxed(spark, sf_dir)
     pred = c.where("class = 'word'").select("source_image_id", F.col("annotation_id").alias("a"), "box", (F.col("w") * F.col("h") / 1e8).cast("double").alias("conf"))
     truth = c.where("class = 'line'").select("source_image_id", F.col("annotation_id").alias("b"), "box")
-    m = matching.match_boxes(pred, truth, "source_image_id", 0.1).withColumn("all", F.lit("all"))
+    m = cut(matching.match_boxes(pred, truth, "source_image_id", 0.1).withColumn("all", F.lit("all")))
     hits = m.where("status <> 'FN'").select("all", "conf", (F.col("status") == "TP").alias("hit"), F.col("a").alias("det_crop"))
     totals = m.where("status <> 'FP'").groupBy("all").agg(F.count(F.lit(1)).alias("total"))
     ap = metrics.average_precision(hits, "all", "conf", "hit", "det_crop", totals)
