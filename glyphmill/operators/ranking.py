@@ -25,3 +25,18 @@ def rank_in_groups(df: DataFrame, groups: list[str], order: list[Column], out: s
     n = n.select(*[F.col(g).alias(x) for g, x in names.items()], F.col("_b").alias("_b2"), "_before")
     on = reduce(lambda p, q: p & q, [keyed[g].eqNullSafe(n[x]) for g, x in names.items()], keyed["_b"] == n["_b2"])
     return keyed.join(n, on).withColumn(out, F.col("_r") + F.col("_before")).drop("_h", "_b", "_b2", "_r", "_before", *names.values())
+
+
+def rank_by_span(df: DataFrame, groups: list[str], span: Column, order: list[Column], out: str) -> DataFrame:
+    """``df`` with the 1-based rank of each row in its group by ``span`` and then ``order``.
+
+    ``span`` is a whole number that never falls along the order wanted, such as a score in steps; rows are ranked inside
+    ``(group, span)`` and the counts of the lower spans are added, so a group with very many rows is many tasks.
+    """
+    keyed = df.withColumn("_b", span).withColumn("_r", F.row_number().over(Window.partitionBy(*groups, span).orderBy(*order)))
+    n = keyed.groupBy(*groups, "_b").agg(F.count(F.lit(1)).alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.partitionBy(*groups).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    names = {g: f"_g{i}" for i, g in enumerate(groups)}
+    n = n.withColumn("_before", before).select(*[F.col(g).alias(x) for g, x in names.items()], F.col("_b").alias("_b2"), "_before")
+    on = reduce(lambda p, q: p & q, [keyed[g].eqNullSafe(n[x]) for g, x in names.items()], keyed["_b"] == n["_b2"])
+    return keyed.join(n, on).withColumn(out, (F.col("_r") + F.col("_before")).cast("int")).drop("_b", "_b2", "_r", "_before", *names.values())

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from glyphmill.functions import geometry as g
 from glyphmill.functions import text as t
 from glyphmill.operators import matching, metrics
 from glyphmill.operators.lineage import cut
+from glyphmill.operators.ranking import rank_by_span
 from glyphmill.plans.boxes import CROPS, HEIGHT, WIDTH, _boxed, _crops, ap_sql
 from glyphmill.sources.tables import table
 
@@ -102,8 +103,8 @@ def box_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
 def det_crop_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Detections of a photo numbered by falling confidence, and the name of their crop."""
     m = table(spark, sf_dir, "e2e_match_gangnam").where("det_crop is not null and photo is not null").select("photo", "det_crop", "conf").distinct()
-    r = F.row_number().over(Window.partitionBy("photo").orderBy(F.col("conf").desc_nulls_last(), "det_crop"))
-    return m.withColumn("n", r).select("photo", "det_crop", "n", t.crop_name(F.col("photo"), F.col("n")).alias("crop"))
+    steps = F.coalesce(-F.floor(F.col("conf") * 256), F.lit(1)).cast("int")
+    return rank_by_span(m, ["photo"], steps, [F.col("conf").desc_nulls_last(), F.col("det_crop")], "n").select("photo", "det_crop", "n", t.crop_name(F.col("photo"), F.col("n")).alias("crop"))
 
 
 DET_CROPS = "select photo, det_crop, cast(n as integer) as n, photo || '__crop_' || case when n < 1000 then lpad(cast(n as varchar), 3, '0') else cast(n as varchar) end as crop from (select *, row_number() over (partition by photo order by conf desc nulls last, det_crop) as n from (select distinct photo, det_crop, conf from e2e_match_gangnam where det_crop is not null and photo is not null))"

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from glyphmill.functions import text as t
 from glyphmill.operators import matching, metrics, retrieval, scoring, splits
+from glyphmill.operators.ranking import rank_by_span
 from glyphmill.plans.boxes import _boxed, ap_sql
 from glyphmill.plans.detection import GREEDY, GREEDY_MATCH
 from glyphmill.plans.records import ASKED, _asked, _entries
@@ -116,20 +117,25 @@ SAMPLE_FOLDS = "select source_image, cast((r - 1) % 5 as integer) as fold from (
 def photo_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """True signs of a photo numbered in the order of the file."""
     m = table(spark, sf_dir, "e2e_match_gangnam").where("gt_index is not null and photo is not null").select("photo", "gt_index").distinct()
-    return m.withColumn("n", F.row_number().over(Window.partitionBy("photo").orderBy("gt_index")))
+    return rank_by_span(m, ["photo"], F.shiftright("gt_index", 6), [F.col("gt_index")], "n").select("photo", "gt_index", "n")
 
 
 NUMBERS = "select photo, gt_index, cast(row_number() over (partition by photo order by gt_index) as integer) as n from (select distinct photo, gt_index from e2e_match_gangnam where gt_index is not null and photo is not null)"
 
 
 def next_photo_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Whether a photo and the next of its region name a sign in common."""
+    """Whether a photo and that with the next number in its region name a sign in common."""
     d = table(spark, sf_dir, "tagging_gt_v1").where("trim(name) <> '' and image_name is not null").select("region", F.regexp_replace("image_name", "__crop_[0-9]+$", "").alias("photo"), "name").distinct()
-    p = d.groupBy("region", "photo").agg(F.collect_set("name").alias("names"))
-    return p.withColumn("then", F.lead("names").over(Window.partitionBy("region").orderBy("photo"))).where("then is not null").select("region", "photo", F.arrays_overlap("names", "then").alias("shares"))
+    d = d.withColumn("n", t.trailing_number(F.col("photo")))
+    then = d.select("region", (F.col("n") - 1).alias("n"), "name", F.lit(1).alias("shares")).distinct()
+    both = d.select("region", "photo", "n").distinct().join(then.select("region", "n").distinct(), ["region", "n"])
+    shared = d.join(then, ["region", "n", "name"], "left_semi").select("region", "photo", F.lit(True).alias("shares")).distinct()
+    return both.join(shared, ["region", "photo"], "left").select("region", "photo", F.coalesce("shares", F.lit(False)).alias("shares"))
 
 
-NEXT = "with p as (select region, regexp_replace(image_name, '__crop_[0-9]+$', '') as photo, list(distinct name) as names from tagging_gt_v1 where trim(name) <> '' and image_name is not null group by 1, 2), l as (select *, lead(names) over (partition by region order by photo) as nx from p) select region, photo, list_has_any(names, nx) as shares from l where nx is not null"
+NEXT = """with p as (select region, regexp_replace(image_name, '__crop_[0-9]+$', '') as photo, list(distinct name) as names from tagging_gt_v1 where trim(name) <> '' and image_name is not null group by 1, 2),
+q as (select *, cast(regexp_extract(photo, '([0-9]+)[^0-9]*$', 1) as bigint) as n from p where regexp_matches(photo, '[0-9]')), r as (select region, n, list_distinct(flatten(list(names))) as names from q group by 1, 2)
+select a.region, a.photo, list_has_any(a.names, b.names) as shares from q a join r b on a.region = b.region and b.n = a.n + 1"""
 
 
 def cascade_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
