@@ -401,3 +401,20 @@ def test_sources_and_sinks(spark, tmp_path):
         labels.apply_checked(rows, rows.select("id"), d.limit(0), "id")
     q = one(spark, g.pad_quad(F.array(*[F.struct(F.lit(float(x)).alias("x"), F.lit(float(y)).alias("y")) for x, y in ((0, 0), (10, 0), (10, 10), (0, 10))]), 0.2, F.lit(11), F.lit(50)))[0]
     assert [(p["x"], p["y"]) for p in q] == [(0, 0), (10, 0), (10, 11), (0, 11)]
+
+
+def test_components_end_in_one_task(spark, monkeypatch):
+    cuts = []
+    real = components.cut
+    monkeypatch.setattr(components, "cut", lambda df: cuts.append(1) or real(df))
+    rng = random.Random(3)
+    pairs = [(rng.randint(0, 400), rng.randint(0, 400)) for _ in range(250)] + [(1000 + i, 1001 + i) for i in range(300)]
+    e = spark.createDataFrame(pairs, "a long, b long")
+    up = {n: n for p in pairs for n in p}
+    for _ in range(400):
+        for a, b in pairs:
+            up[a] = up[b] = min(up[a], up[b])
+    want = {(n, c) for n, c in up.items()}
+    assert {tuple(r) for r in components.components(e).collect()} == want and len(cuts) <= 3
+    assert {tuple(r) for r in components.components(e, few=0).collect()} == want
+    assert {tuple(r) for r in components.components(e, few=40).collect()} == want
