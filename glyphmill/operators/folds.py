@@ -18,13 +18,14 @@ def shared_groups(items: DataFrame, node: str, region: str, key: str) -> DataFra
     Each key links its nodes to the smallest of them, a star instead of all pairs. Nodes without a usable key stay
     alone; a key in two regions connects nothing across them.
     """
-    i = cut(items.select(region, node, key).where(F.col(node).isNotNull()).distinct())
-    rep = i.where(F.col(key).isNotNull()).groupBy(region, key).agg(F.min(node).alias("_m"))
+    i = items.select(region, node, key).where(F.col(node).isNotNull()).distinct()
+    held = i.where(F.col(key).isNotNull())
+    rep = held.groupBy(region, key).agg(F.min(node).alias("_m"))
     sep = "\u0001"
-    edges = i.join(rep, [region, key]).select(F.concat_ws(sep, region, node).alias("a"), F.concat_ws(sep, region, "_m").alias("b"))
-    alone = i.select(F.concat_ws(sep, region, node).alias("a"), F.concat_ws(sep, region, node).alias("b"))
-    c = components(edges.union(alone))
-    return c.select(F.split_part("node", F.lit(sep), F.lit(1)).alias(region), F.split_part("node", F.lit(sep), F.lit(2)).alias(node), F.split_part("component", F.lit(sep), F.lit(2)).alias("group_id"))
+    edges = held.join(rep, [region, key]).where(F.col(node) != F.col("_m")).select(F.concat_ws(sep, region, node).alias("a"), F.concat_ws(sep, region, "_m").alias("b"))
+    c = components(edges).select(F.col("node").alias("_n"), F.split_part("component", F.lit(sep), F.lit(2)).alias("_c"))
+    n = items.select(region, node).where(F.col(node).isNotNull()).distinct().withColumn("_id", F.concat_ws(sep, region, node))
+    return n.join(c, F.col("_id") == F.col("_n"), "left").select(region, node, F.coalesce("_c", node).alias("group_id"))
 
 
 def level(sizes: dict[int, int], k: int) -> list[tuple[int, int, int, int]]:
@@ -54,6 +55,7 @@ def level(sizes: dict[int, int], k: int) -> list[tuple[int, int, int, int]]:
 
 def assign_folds(groups: DataFrame, region: str, k: int) -> DataFrame:
     """``(region, node.., group_id, fold)``: whole groups to ``k`` folds per region, big ones first to the least loaded."""
+    groups = cut(groups)
     n = cut(groups.groupBy(region, "group_id").agg(F.count(F.lit(1)).alias("size")))
     rows = []
     hist: dict[str, dict[int, int]] = {}

@@ -245,7 +245,7 @@ select region, node as photo, min(reach) as group_id from r group by 1, 2
 def fold_leak_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Five folds of the groups above: sizes, and names that would leak between folds (none)."""
     g = folds.assign_folds(share_components(spark, sf_dir), "region", 5)
-    d = table(spark, sf_dir, "tagging_gt_v1").where("region is not null and eval_name = '1' and trim(name) <> ''").select("region", F.regexp_replace("image_name", "__crop_[0-9]+$", "").alias("photo"), F.trim("name").alias("name")).distinct()
+    d = table(spark, sf_dir, "tagging_gt_v1").where("region is not null and eval_name = '1' and trim(name) <> ''").select("region", F.regexp_replace("image_name", "__crop_[0-9]+$", "").alias("photo"), F.trim("name").alias("name"))
     named = d.join(g, ["region", "photo"]).withColumn("content", F.concat_ws("\u0001", "region", "name"))
     leaked = folds.leaks(named, "content", "fold").select(F.split_part("content", F.lit("\u0001"), F.lit(1)).alias("region")).groupBy("region").agg(F.count(F.lit(1)).alias("leaks"))
     per = g.groupBy("region", "fold").agg(F.count(F.lit(1)).alias("photos"), F.count_distinct("group_id").alias("groups"))

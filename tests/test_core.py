@@ -418,3 +418,9 @@ def test_components_end_in_one_task(spark, monkeypatch):
     assert {tuple(r) for r in components.components(e).collect()} == want and len(cuts) <= 3
     assert {tuple(r) for r in components.components(e, few=0).collect()} == want
     assert {tuple(r) for r in components.components(e, few=40).collect()} == want
+
+
+def test_groups_keep_regions(spark):
+    i = spark.createDataFrame([("s", "p1", "k"), ("s", "p2", "k"), ("s", "p2", "m"), ("s", "p3", "m"), ("t", "p3", "k"), ("t", "p4", None), (None, "p5", "k"), ("s", None, "k")], "region string, photo string, name string")
+    got = {(r["region"], r["photo"]): r["group_id"] for r in folds.shared_groups(i, "photo", "region", "name").collect()}
+    assert got == {("s", "p1"): "p1", ("s", "p2"): "p1", ("s", "p3"): "p1", ("t", "p3"): "p3", ("t", "p4"): "p4", (None, "p5"): "p5"}
