@@ -1,14 +1,20 @@
-"""Greedy assignment, suppression, grouping and voting as rounds of joins; no task holds a whole photo or crop."""
+"""Greedy assignment, suppression, grouping and voting as rounds of joins. Only boxes are matched and words put in rows with
+whole photos in a task, up to a number of boxes that is checked."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, IntegerType, LongType, StringType, StructField, StructType
 
 from glyphmill.functions import geometry as g
 from glyphmill.functions.text import lev_infix
+from glyphmill.operators import whole
 from glyphmill.operators.lineage import cut
 
+#: Boxes of a photo that one task may hold, some 300 MB.
+FEW_BOXES = 1 << 20
+
 
 def overlap_join(a: DataFrame, b: DataFrame, key: str, cell: float = 256.0) -> DataFrame:
     """``(key, a, b, iou)`` of the overlapping boxes of ``a (key, a, box)`` and ``b (key, b, box)``.
@@ -74,12 +80,28 @@ def suppress(boxes: DataFrame, key: str, order: list[Column], threshold: float,
     return boxes if gone is None else boxes.join(gone.distinct(), [key, "id"], "left_anti")
 
 
-def match_boxes(pred: DataFrame, truth: DataFrame, key: str, threshold: float = 0.5) -> DataFrame:
+def match_boxes(pred: DataFrame, truth: DataFrame, key: str, threshold: float = 0.5, few: int = FEW_BOXES) -> DataFrame:
     """``(key, a, b, iou, conf, status)``: TP, FP and FN rows; predictions by falling ``conf`` take the best free truth.
 
     ``pred (key, a, box, conf)``, ``truth (key, b, box)``. FP rows have a null ``b`` and the best IoU with a truth that was
-    free at their turn, FN rows a null ``a`` and ``conf``.
+    free at their turn, FN rows a null ``a`` and ``conf``. Photos of up to ``few`` boxes are settled whole in Arrow
+    batches that never write their pairs, larger ones in rounds of joins.
     """
+    kind, known = dict(truth.dtypes)["b"], dict(pred.dtypes)["a"]
+    sides = [F.col("box")[c].alias(c) for c in whole.SIDES]
+    rows = pred.select(key, "a", F.lit(None).cast(kind).alias("b"), *sides, F.col("conf").cast("double").alias("conf"), F.lit(True).alias("pred"))
+    rows = rows.unionByName(truth.select(key, F.lit(None).cast(known).alias("a"), "b", *sides, F.lit(None).cast("double").alias("conf"), F.lit(False).alias("pred")))
+    many = cut(rows.where(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > few).select(key))
+    large = not many.isEmpty()
+    if large:
+        rows = rows.join(many, key, "left_anti")
+    out = StructType([StructField(c, rows.schema[c].dataType) for c in (key, "a", "b")] + [StructField("iou", DoubleType()), StructField("conf", DoubleType()), StructField("status", StringType())])
+    done = rows.repartition(key).sortWithinPartitions(key).mapInArrow(whole.matcher(key, threshold), out)
+    return done.unionByName(_match_in_rounds(pred.join(many, key, "left_semi"), truth.join(many, key, "left_semi"), key, threshold)) if large else done
+
+
+def _match_in_rounds(pred: DataFrame, truth: DataFrame, key: str, threshold: float) -> DataFrame:
+    """``match_boxes`` by rounds of joins over all overlapping pairs."""
     pairs = cut(overlap_join(pred, truth, key).join(pred.select(key, "a", "conf"), [key, "a"]))
     tp = cut(greedy_match(pairs.where(F.col("iou") >= threshold), [key], [-F.col("conf"), F.col("a"), -F.col("iou")]))
     rest = pred.join(tp.select(key, "a"), [key, "a"], "left_anti").select(key, "a", "conf")
@@ -142,6 +164,24 @@ def group_lines(boxes: Column, tol: Column) -> Column:
     return F.transform(lines, lambda line: F.transform(F.array_sort(line["w"]), lambda s: s["id"]))
 
 
+def word_rows(words: DataFrame, lines: DataFrame, key: str, tol: float, few: int = 1 << 17) -> DataFrame:
+    """``(key, b, rows, words, order)`` of the boxes ``lines (key, b, box)`` that overlap boxes of ``words (key, id, box)``:
+    rows as by ``group_lines`` within ``tol`` of the mean height, and the ids in reading order.
+
+    The lines of a photo of more than ``few`` boxes are dealt to several tasks, each with all words of the photo.
+    """
+    lines = lines.where(F.col("b").isNotNull())
+    n = words.select(key).unionByName(lines.select(key)).groupBy(key).agg(F.ceil(F.count(F.lit(1)) / few).cast("int").alias("_n")).where("_n > 1")
+    n = F.broadcast(n)  # at most one row for so many boxes
+    sides = [F.col("box")[c].alias(c) for c in whole.SIDES]
+    slots = F.coalesce("_n", F.lit(1))
+    w = words.join(n, key, "left").select(key, F.explode(F.sequence(F.lit(0), slots - 1)).alias("slot"), F.lit(None).cast(dict(lines.dtypes)["b"]).alias("b"), "id", *sides)
+    at = lines.join(n, key, "left").select(key, F.pmod(F.xxhash64("b"), slots).cast("int").alias("slot"), "b", F.lit(None).cast("bigint").alias("id"), *sides)
+    rows = w.unionByName(at).where(F.col(key).isNotNull())
+    out = StructType([StructField(key, rows.schema[key].dataType), StructField("b", rows.schema["b"].dataType), StructField("rows", IntegerType()), StructField("words", LongType()), StructField("order", StringType())])
+    return rows.repartition(key, "slot").sortWithinPartitions(key, "slot").mapInArrow(whole.liner(key, tol), out)
+
+
 def merge_boxes(boxes: DataFrame, key: str, order: list[Column], threshold: float, by: str) -> DataFrame:
     """``(key, id, box, by)``: boxes that start a cluster, with the sorted names ``by`` of all boxes in it.
 

@@ -424,3 +424,43 @@ def test_groups_keep_regions(spark):
     i = spark.createDataFrame([("s", "p1", "k"), ("s", "p2", "k"), ("s", "p2", "m"), ("s", "p3", "m"), ("t", "p3", "k"), ("t", "p4", None), (None, "p5", "k"), ("s", None, "k")], "region string, photo string, name string")
     got = {(r["region"], r["photo"]): r["group_id"] for r in folds.shared_groups(i, "photo", "region", "name").collect()}
     assert got == {("s", "p1"): "p1", ("s", "p2"): "p1", ("s", "p3"): "p1", ("t", "p3"): "p3", ("t", "p4"): "p4", (None, "p5"): "p5"}
+
+
+def _dense(spark, seed, n=400):
+    rng = random.Random(seed)
+    rows = [(rng.choice(["p", "q", "p", None]), f"{rng.randint(0, 10**6):07d}{i:03d}", rng.randint(0, 400), rng.randint(0, 250), rng.choice([0, 20, 60, 350]), rng.randint(5, 40), rng.choice([None, 0.1, 0.5, 0.9])) for i in range(n)]
+    df = spark.createDataFrame(rows, "key string, id string, x int, y int, w int, h int, conf double").withColumn("box", g.xywh_box(F.col("x"), F.col("y"), F.col("w"), F.col("h")))
+    return df.where("id % 3 <> 0").select("key", F.col("id").alias("a"), "box", "conf"), df.where("id % 3 = 0").select("key", F.col("id").alias("b"), "box")
+
+
+def test_matching_writes_no_pairs(spark, monkeypatch):
+    pred, truth = _dense(spark, 5)
+    rows = lambda few: sorted(tuple("" if v is None else repr(v) for v in r) for r in matching.match_boxes(pred, truth, "key", 0.1, few=few).collect())
+    want = rows(0)  # rounds of joins
+    assert {r[5] for r in want} == {"'TP'", "'FP'", "'FN'"} and rows(200) == want
+    monkeypatch.setattr(matching, "overlap_join", lambda *a: pytest.fail("all pairs were joined"))
+    assert matching.match_boxes(pred, truth, "key", 0.1).count() == len(want)
+    monkeypatch.undo()
+    assert rows(10**6) == want
+
+
+def test_whole_groups_and_blocks():
+    import numpy as np
+    import pyarrow as pa
+    from glyphmill.operators import whole
+
+    keys = [None, None, "a", "b", "b", "b", "c"]
+    for size in (1, 2, 3, 7):
+        t = pa.table({"k": pa.array(keys, pa.string())})
+        got = [x.column("k").to_pylist() for x in whole.whole_groups(iter(t.to_batches(max_chunksize=size)), ["k"])]
+        assert sum(got, []) == keys and sum(len(set(x)) for x in got) == 4
+    rng = np.random.default_rng(2)
+    lo = rng.integers(0, 300, (2, 500)).astype(float)
+    box = np.concatenate([lo, lo + rng.integers(1, 60, (2, 500))])
+    box[2, :3] += 1000
+    group = np.sort(rng.integers(0, 3, 500))
+    a, b = np.arange(0, 500, 2), np.arange(1, 500, 2)
+    want = {(i, j) for i in range(250) for j in range(250) if group[a[i]] == group[b[j]] and all(min(box[d + 2, a[i]], box[d + 2, b[j]]) > max(box[d, a[i]], box[d, b[j]]) for d in (0, 1))}
+    for block in (1, 100, 10**6):
+        got = [(int(x), int(y)) for i, j, _ in whole.overlaps(group[a], box[:, a], np.arange(250) // 2, group[b], box[:, b], block) for x, y in zip(i, j)]
+        assert len(got) == len(want) and set(got) == want
