@@ -49,7 +49,7 @@ def match_then_ap(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = _boxed(spark, sf_dir)
     pred = c.where("class = 'word'").select("source_image_id", F.col("annotation_id").alias("a"), "box", (F.col("w") * F.col("h") / 1e8).cast("double").alias("conf"))
     truth = c.where("class = 'line'").select("source_image_id", F.col("annotation_id").alias("b"), "box")
-    m = cut(matching.match_boxes(pred, truth, "source_image_id", 0.1).withColumn("all", F.lit("all")))
+    m = cut(matching.match_boxes(pred, truth, "source_image_id", 0.1).select("a", "conf", "status")).withColumn("all", F.lit("all"))
     hits = m.where("status <> 'FN'").select("all", "conf", (F.col("status") == "TP").alias("hit"), F.col("a").alias("det_crop"))
     totals = m.where("status <> 'FP'").groupBy("all").agg(F.count(F.lit(1)).alias("total"))
     ap = metrics.average_precision(hits, "all", "conf", "hit", "det_crop", totals)
