@@ -104,13 +104,9 @@ def nms(spark: SparkSession, sf_dir: str) -> DataFrame:
 def line_grouping(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The word boxes that lie on a line box, grouped into rows within 0.6 of their mean height, in reading order."""
     c = _boxed(spark, sf_dir)
-    words = c.where("class = 'word'").select("source_image_id", F.col("annotation_id").alias("a"), "box")
+    words = c.where("class = 'word' and annotation_id is not null").select("source_image_id", F.col("annotation_id").cast("bigint").alias("id"), "box")
     lines = c.where("class = 'line'").select("source_image_id", F.col("annotation_id").alias("b"), "box")
-    on = matching.overlap_join(words, lines, "source_image_id").join(words, ["source_image_id", "a"])
-    p = F.struct(((F.col("box.y0") + F.col("box.y1")) / 2).alias("y"), F.col("box.x0").alias("x"), F.col("a").cast("bigint").alias("id"))
-    per = on.groupBy("source_image_id", "b").agg(F.collect_list(p).alias("p"), F.avg(F.col("box.y1") - F.col("box.y0")).alias("h"), F.count(F.lit(1)).alias("words"))
-    rows = matching.group_lines(F.col("p"), F.col("h") * 0.6)
-    return per.select("source_image_id", "b", F.size(rows).alias("rows"), "words", F.array_join(F.transform(F.flatten(rows), lambda i: i.cast("string")), " ").alias("order"))
+    return matching.word_rows(words, lines, "source_image_id", 0.6)
 
 
 #: Rows as a recursion over the words of a line box by centre: each joins the first row whose mean is near, else starts one.

@@ -464,3 +464,21 @@ def test_whole_groups_and_blocks():
     for block in (1, 100, 10**6):
         got = [(int(x), int(y)) for i, j, _ in whole.overlaps(group[a], box[:, a], np.arange(250) // 2, group[b], box[:, b], block) for x, y in zip(i, j)]
         assert len(got) == len(want) and set(got) == want
+
+
+def test_word_rows_of_dense_lines(spark, monkeypatch):
+    from glyphmill.operators import whole
+
+    pred, truth = _dense(spark, 9)
+    words = pred.select("key", F.col("a").cast("bigint").alias("id"), "box")
+    on = matching.overlap_join(words.select("key", F.col("id").alias("a"), "box"), truth, "key").join(words.withColumnRenamed("id", "a"), ["key", "a"])
+    p = F.struct(((F.col("box.y0") + F.col("box.y1")) / 2).alias("y"), F.col("box.x0").alias("x"), F.col("a").alias("id"))
+    per = on.groupBy("key", "b").agg(F.collect_list(p).alias("p"), F.avg(F.col("box.y1") - F.col("box.y0")).alias("h"))
+    rows = matching.group_lines(F.col("p"), F.col("h") * 0.2)
+    want = {(r["key"], r["b"], r["rows"], r["words"], r["order"]) for r in per.select("key", "b", F.size(rows).alias("rows"), F.size("p").alias("words"), F.array_join(F.transform(F.flatten(rows), lambda i: i.cast("string")), " ").alias("order")).collect()}
+    assert max(r[2] for r in want) > 2
+    monkeypatch.setattr(matching, "overlap_join", lambda *a: pytest.fail("all pairs were joined"))
+    for few in (20, 10**6):
+        got = [tuple(r) for r in matching.word_rows(words, truth, "key", 0.2, few).select("key", "b", "rows", "words", "order").collect()]
+        assert len(got) == len(want) and set(got) == want
+    assert whole.rows_of(*[__import__("numpy").array(v, float if k in (0, 3) else int) for k, v in enumerate(([1, 2, 9, 5, 5.5], [0, 3], [3, 2], [2.0, 0.1]))]).tolist() == [0, 0, 1, 0, 1]
