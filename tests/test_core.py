@@ -482,3 +482,10 @@ def test_word_rows_of_dense_lines(spark, monkeypatch):
         got = [tuple(r) for r in matching.word_rows(words, truth, "key", 0.2, few).select("key", "b", "rows", "words", "order").collect()]
         assert len(got) == len(want) and set(got) == want
     assert whole.rows_of(*[__import__("numpy").array(v, float if k in (0, 3) else int) for k, v in enumerate(([1, 2, 9, 5, 5.5], [0, 3], [3, 2], [2.0, 0.1]))]).tolist() == [0, 0, 1, 0, 1]
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no test data")
+@pytest.mark.parametrize("name", ["greedy_box_match", "legacy_match", "match_then_ap"])
+def test_queries_write_no_pairs(spark, monkeypatch, name):
+    monkeypatch.setattr(matching, "overlap_join", lambda *a: pytest.fail("all pairs were joined"))
+    assert registry.queries()[name](spark, SF).count() > 0
