@@ -318,3 +318,17 @@ def test_p9_held_out_wordings(spark):
     found = {i % 1000 for i in got if i >= 1000}
     print("held out", len(found), "of", len(HELD_OUT), sorted(set(range(len(HELD_OUT))) - found))
     assert len(found) >= 0.5 * len(HELD_OUT)
+
+
+def test_p2_index_in_slices(spark, monkeypatch):
+    """The index is joined a slice of its keys at a time, with the pairs of the whole."""
+    rng = random.Random(5)
+    rows = {("la", "".join(rng.choice("abcde") for _ in range(rng.randint(4, 9)))) for _ in range(150)} | {("ko", "".join(rng.choice("가나다라") for _ in range(6))) for _ in range(60)}
+    df = spark.createDataFrame(sorted(rows), "kind string, s string")
+    cuts = []
+    real = name_variants.cut
+    monkeypatch.setattr(name_variants, "cut", lambda d: cuts.append(d.columns) or real(d))
+    pairs = lambda n: {(r["kind"], r["a"], r["b"], round(r["sim"], 9)) for r in name_variants.cosine_join(df, most_keys=n).collect()}
+    want = pairs(10**9)
+    assert want and not sum(c[:2] == ["ia", "ib"] for c in cuts)
+    assert pairs(1000) == want and sum(c[:2] == ["ia", "ib"] for c in cuts) > 2
