@@ -10,10 +10,12 @@ from pyspark.sql.types import DoubleType, IntegerType, LongType, StringType, Str
 from glyphmill.functions import geometry as g
 from glyphmill.functions.text import lev_infix
 from glyphmill.operators import whole
-from glyphmill.operators.lineage import cut
+from glyphmill.operators.lineage import cut, release
 
 #: Boxes of a photo that one task may hold, some 300 MB.
 FEW_BOXES = 1 << 20
+#: Largest side of the predictions in the smallest tiles of a larger photo, which are four times as wide; further sizes double.
+SIDE = 128.0
 
 
 def overlap_join(a: DataFrame, b: DataFrame, key: str, cell: float = 256.0) -> DataFrame:
@@ -85,7 +87,7 @@ def match_boxes(pred: DataFrame, truth: DataFrame, key: str, threshold: float =
 
     ``pred (key, a, box, conf)``, ``truth (key, b, box)``. FP rows have a null ``b`` and the best IoU with a truth that was
     free at their turn, FN rows a null ``a`` and ``conf``. Photos of up to ``few`` boxes are settled whole in Arrow
-    batches that never write their pairs, larger ones in rounds of joins.
+    batches, larger ones in rounds over tiles; neither writes their pairs.
     """
     kind, known = dict(truth.dtypes)["b"], dict(pred.dtypes)["a"]
     sides = [F.col("box")[c].alias(c) for c in whole.SIDES]
@@ -96,21 +98,65 @@ def match_boxes(pred: DataFrame, truth: DataFrame, key: str, threshold: float =
     if large:
         rows = rows.join(many, key, "left_anti")
     out = StructType([StructField(c, rows.schema[c].dataType) for c in (key, "a", "b")] + [StructField("iou", DoubleType()), StructField("conf", DoubleType()), StructField("status", StringType())])
-    done = rows.repartition(key).sortWithinPartitions(key).mapInArrow(whole.matcher(key, threshold), out)
-    return done.unionByName(_match_in_rounds(pred.join(many, key, "left_semi"), truth.join(many, key, "left_semi"), key, threshold)) if large else done
+    done = rows.repartition(key).sortWithinPartitions(key).mapInArrow(whole.matcher([key], threshold), out)
+    return done.unionByName(_match_in_tiles(pred.join(many, key, "left_semi"), truth.join(many, key, "left_semi"), key, threshold)) if large else done
 
 
-def _match_in_rounds(pred: DataFrame, truth: DataFrame, key: str, threshold: float) -> DataFrame:
-    """``match_boxes`` by rounds of joins over all overlapping pairs."""
-    pairs = cut(overlap_join(pred, truth, key).join(pred.select(key, "a", "conf"), [key, "a"]))
-    tp = cut(greedy_match(pairs.where(F.col("iou") >= threshold), [key], [-F.col("conf"), F.col("a"), -F.col("iou")]))
+def _match_in_tiles(pred: DataFrame, truth: DataFrame, key: str, threshold: float, most_rounds: int = 1000) -> DataFrame:
+    """``match_boxes`` of photos that no task holds, without a table of their pairs.
+
+    A prediction lies in one tile of its photo, by its size and upper left corner; a truth comes to all tiles with
+    predictions that may overlap it. In a round those that have no truth ask for the best one that no earlier turn has
+    asked for, in turn inside a tile, and a truth keeps the earliest that asked; who loses it asks again. All truths prefer
+    the same turns, so this ends in the one stable assignment, that of one pass in order, whatever asks first. More than
+    ``most_rounds`` rounds raise an error.
+    """
+    pred, truth = cut(pred.withColumn("conf", F.col("conf").cast("double"))), cut(truth)
+    kind, known = dict(truth.dtypes)["b"], dict(pred.dtypes)["a"]
+    sides = [F.col("box")[c].alias(c) for c in whole.SIDES]
+    wide = lambda hi, lo: (F.col(hi) - F.col(lo) > 0) & (F.col(hi) - F.col(lo) < float("inf"))
+    usable = wide("x1", "x0") & wide("y1", "y0")
+    own = Window.partitionBy(key, "a")  # a prediction with several boxes is in one tile with all of them
+    p = pred.where(F.col("a").isNotNull()).select(key, "a", *sides, "conf").where(usable)
+    p = p.withColumns({"_l": F.min("x0").over(own), "_t": F.min("y0").over(own), "_r": F.max("x1").over(own), "_d": F.max("y1").over(own)})
+    p = p.withColumn("_k", F.greatest(F.lit(0), F.ceil(F.log2(F.greatest(F.col("_r") - F.col("_l"), F.col("_d") - F.col("_t")) * 1.01 / SIDE)).cast("int")))
+    size = F.pow(F.lit(2.0), F.col("_k")) * SIDE
+    tile = [key, "_k", "_x", "_y"]
+    placed = cut(p.select(key, "_k", F.floor(F.col("_l") / (size * 4)).alias("_x"), F.floor(F.col("_t") / (size * 4)).alias("_y"), "a", *whole.SIDES, "conf"))
+    truths = cut(truth.where(F.col("b").isNotNull()).select(key, "b", *sides).where(usable))
+    claim = StructType([StructField(key, placed.schema[key].dataType), placed.schema["a"], truths.schema["b"], StructField("iou", DoubleType()), StructField("conf", DoubleType()), StructField("status", StringType())])
+    parts = int(pred.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+    def tiles(some: DataFrame, held: DataFrame | None, least: float, only: str) -> DataFrame:
+        """``greedy`` for ``some`` of the predictions, a tile at a time, with the truths as they are held."""
+        span = some.groupBy(key, "_k").agg(*[f(c).alias(f"{c}_{n}") for c in ("_x", "_y") for n, f in (("lo", F.min), ("hi", F.max))])
+        t = truths.withColumns({"a": F.lit(None).cast(known), "conf": F.lit(None).cast("double")}) if held is None else truths.join(held.select(key, "b", "a", "conf"), [key, "b"], "left")
+        t = t.join(F.broadcast(span), key)  # a row for a large photo and size
+        for d in ("x", "y"):
+            t = t.withColumns({"_lo": F.greatest(F.floor((F.col(f"{d}0") - size) / (size * 4)), F.col(f"_{d}_lo")), "_hi": F.least(F.floor(F.col(f"{d}1") / (size * 4)), F.col(f"_{d}_hi"))})
+            t = t.where("_lo <= _hi").withColumn(f"_{d}", F.explode(F.sequence("_lo", "_hi")))
+        t = t.join(some.select(tile).distinct(), tile, "left_semi").select(*tile, "a", "b", *whole.SIDES, "conf", F.lit(False).alias("pred"))
+        rows = some.select(*tile, "a", F.lit(None).cast(kind).alias("b"), *whole.SIDES, "conf", F.lit(True).alias("pred")).unionByName(t)
+        return rows.repartition(parts, *tile).sortWithinPartitions(*tile).mapInArrow(whole.matcher(tile, least, only), claim)
+
+    asking, tp = placed, None
+    for _ in range(most_rounds):
+        asks = tiles(asking, tp, threshold, "TP")
+        turn = F.struct(-F.col("conf"), F.col("a"))
+        claims = asks if tp is None else tp.unionByName(asks)
+        claims = cut(claims.withColumn("_kept", turn == F.min(turn).over(Window.partitionBy(key, "b"))))
+        tp, lost = claims.where("_kept").drop("_kept"), claims.where("not _kept").select(key, "a")
+        asking = cut(placed.join(lost, [key, "a"], "left_semi"))
+        release(pred.sparkSession)
+        if asking.isEmpty():
+            break
+    else:
+        raise RuntimeError(f"boxes are left after {most_rounds} rounds")
+    best = tiles(placed.join(tp.select(key, "a"), [key, "a"], "left_anti"), tp, float("inf"), "FP").groupBy(key, "a").agg(F.max("iou").alias("iou"))
     rest = pred.join(tp.select(key, "a"), [key, "a"], "left_anti").select(key, "a", "conf")
-    turn = F.struct(-F.col("conf"), F.col("a"))
-    held = tp.select(key, "b", turn.alias("_taken"))
-    free = pairs.join(held, [key, "b"], "left").where(F.col("_taken").isNull() | (turn < F.col("_taken"))).groupBy(key, "a").agg(F.max("iou").alias("iou"))
-    fp = rest.join(free, [key, "a"], "left").select(key, "a", F.lit(None).cast(dict(truth.dtypes)["b"]).alias("b"), F.coalesce("iou", F.lit(0.0)).alias("iou"), "conf", F.lit("FP").alias("status"))
-    fn = truth.join(tp.select(key, "b"), [key, "b"], "left_anti").select(key, F.lit(None).cast(dict(pred.dtypes)["a"]).alias("a"), "b", F.lit(0.0).alias("iou"), F.lit(None).cast("double").alias("conf"), F.lit("FN").alias("status"))
-    return tp.select(key, "a", "b", "iou", "conf", F.lit("TP").alias("status")).unionByName(fp).unionByName(fn)
+    fp = rest.join(best, [key, "a"], "left").select(key, "a", F.lit(None).cast(kind).alias("b"), F.coalesce("iou", F.lit(0.0)).alias("iou"), "conf", F.lit("FP").alias("status"))
+    fn = truth.join(tp.select(key, "b"), [key, "b"], "left_anti").select(key, F.lit(None).cast(known).alias("a"), "b", F.lit(0.0).alias("iou"), F.lit(None).cast("double").alias("conf"), F.lit("FN").alias("status"))
+    return tp.unionByName(fp).unionByName(fn)
 
 
 def match_lines(truth: DataFrame, pred: DataFrame, key: str, infix: Column | None = None) -> DataFrame:

@@ -136,68 +136,94 @@ def _pieces(t: pa.Table) -> Iterator[pa.RecordBatch]:
     yield from t.combine_chunks().to_batches(max_chunksize=10_000)
 
 
-def greedy(t: pa.Table, key: str, threshold: float, block: int = BLOCK) -> pa.Table:
-    """Whole photos ``(key, a, b, box, conf, pred)`` as ``(key, a, b, iou, conf, status)``; see ``matching.match_boxes``.
+def greedy(t: pa.Table, keys: list[str], threshold: float, near: bool = True, block: int = BLOCK) -> pa.Table:
+    """Whole photos, or tiles of them, ``(*keys, a, b, box, conf, pred)`` as ``(key, a, b, iou, conf, status)`` with the
+    first of ``keys``; see ``matching.match_boxes``.
 
     Predictions have their turn by falling ``conf`` (null first), then ``a``; the best truth that is still free and
-    overlaps by ``threshold`` is theirs, of equal ones the first ``b``.
+    overlaps by ``threshold`` is theirs, of equal ones the first ``b``. A truth with an ``a`` is held by that prediction and
+    its ``conf``: it is free for earlier turns only. Without ``near`` the IoU of FP rows is 0.
     """
-    group = _codes(t.column(key))
+    codes = [_codes(t.column(k)) for k in keys]
+    group = np.cumsum(np.concatenate([[False], np.any([c[1:] != c[:-1] for c in codes], axis=0)]))  # rows of a group stand together
     is_pred = _one(t.column("pred")).to_numpy(zero_copy_only=False).astype(bool)
     box, a, b = _boxes(t), _ranks(t.column("a")), _ranks(t.column("b"))
-    conf, known = pc.fill_null(_one(t.column("conf")), 0.0).to_numpy(zero_copy_only=False), pc.is_valid(_one(t.column("conf"))).to_numpy(zero_copy_only=False)
+    valid = lambda c: pc.is_valid(_one(t.column(c))).to_numpy(zero_copy_only=False)
+    conf, known, named = pc.fill_null(_one(t.column("conf")), 0.0).to_numpy(zero_copy_only=False), valid("conf"), valid("a")
     at_p, at_t = np.flatnonzero(is_pred), np.flatnonzero(~is_pred)
-    of = lambda at, c: np.unique(np.stack([group[at], c[at]]), axis=1, return_inverse=True)[1].reshape(-1) if len(at) else np.zeros(0, np.int64)
+    of = lambda at, c: np.unique(group[at] * (len(c) + 1) + c[at], return_inverse=True)[1].reshape(-1)
     id_p, id_t = of(at_p, a), of(at_t, b)
-    good = usable(box) & (group >= 0)
-    p = np.flatnonzero(good[at_p] & pc.is_valid(_one(t.column("a"))).to_numpy(zero_copy_only=False)[at_p])
-    q = np.flatnonzero(good[at_t] & pc.is_valid(_one(t.column("b"))).to_numpy(zero_copy_only=False)[at_t])
-    rows = at_p[p]
-    order = np.lexsort((a[rows], -conf[rows], known[rows], group[rows]))
-    p, rows = p[order], rows[order]
+    good = usable(box) & valid(keys[0])
+    p = np.flatnonzero(good[at_p] & named[at_p])
+    q = np.flatnonzero(good[at_t] & valid("b")[at_t])
+    held = q[named[at_t[q]]]
+    both = np.concatenate([at_p[p], at_t[held]])
+    order = np.lexsort((a[both], -conf[both], known[both], group[both]))
+    o = both[order]
     pair = lambda v: np.concatenate([[False], (v[1:] != v[:-1]) & ~((v[1:] != v[1:]) & (v[:-1] != v[:-1]))]) if len(v) else np.zeros(0, bool)
-    turn = np.cumsum(pair(group[rows]) | pair(known[rows]) | pair(conf[rows]) | pair(a[rows]))
+    turn = np.cumsum(pair(group[o]) | pair(known[o]) | pair(conf[o]) | pair(a[o]))
+    never = len(turn) + 1
+    taken = np.full(int(id_t.max()) + 1 if len(id_t) else 0, never)
+    of_held = order >= len(p)
+    taken[id_t[held[order[of_held] - len(p)]]] = turn[of_held]
+    p, rows, turn = p[order[~of_held]], o[~of_held], turn[~of_held]
     truth = at_t[q]
     box_p, box_t = np.ascontiguousarray(box[:, rows]), np.ascontiguousarray(box[:, truth])
     area_p, area_t = ((v[2] - v[0]) * (v[3] - v[1]) for v in (box_p, box_t))
     who_p, who_t, rank = id_p[p], id_t[q], b[truth]
-    never = len(turn) + 1
-    taken = np.full(int(id_t.max()) + 1 if len(id_t) else 0, never)
     used, best = np.zeros(int(id_p.max()) + 1 if len(id_p) else 0, bool), np.zeros(int(id_p.max()) + 1 if len(id_p) else 0)
     tp_p, tp_t, tp_iou = [], [], []
-    for i, j, inter in overlaps(group[rows], box_p, turn, group[truth], box_t, block):
-        iou = inter / (area_p[i] + area_t[j] - inter)
-        c = np.flatnonzero((iou >= threshold) & (taken[who_t[j]] == never))
-        c = c[np.lexsort((rank[j[c]], -iou[c], turn[i[c]]))]
-        wa, wb = who_p[i[c]], who_t[j[c]]
-        got, seen_a, seen_b = [], set(), set()
-        for k, (x, y) in enumerate(zip(wa.tolist(), wb.tolist())):
-            if x not in seen_a and y not in seen_b:
-                if not used[x]:
-                    got.append(k)
-                    seen_b.add(y)
-                seen_a.add(x)
-        c, wa, wb = c[got], wa[got], wb[got]
-        used[wa] = True
-        taken[wb] = turn[i[c]]
-        tp_p.append(rows[i[c]])
-        tp_t.append(truth[j[c]])
-        tp_iou.append(iou[c])
-        free = (taken[who_t[j]] > turn[i]) & ~used[who_p[i]]
-        np.maximum.at(best, who_p[i[free]], iou[free])
+    at_group, of_group, start = group[rows], group[truth], 0
+    while start < len(rows):
+        rest, seen = np.flatnonzero(taken[who_t] > turn[start]), 0
+        for i, j, inter in overlaps(at_group[start:], box_p[:, start:], turn[start:], of_group[rest], box_t[:, rest], block):
+            if not len(i):
+                continue
+            i, j, seen = i + start, rest[j], seen + len(i)
+            end = turn[i[-1]]
+            free = taken[who_t[j]] > turn[i]
+            i, j, inter = i[free], j[free], inter[free]
+            iou = inter / (area_p[i] + area_t[j] - inter)
+            c = np.flatnonzero(iou >= threshold)
+            c = c[np.lexsort((rank[j[c]], -iou[c], turn[i[c]]))]
+            wa, wb = who_p[i[c]], who_t[j[c]]
+            got, seen_a, seen_b = [], set(), set()
+            for k, (x, y) in enumerate(zip(wa.tolist(), wb.tolist())):
+                if x not in seen_a and y not in seen_b:
+                    if not used[x]:
+                        got.append(k)
+                        seen_b.add(y)
+                    seen_a.add(x)
+            c, wa, wb = c[got], wa[got], wb[got]
+            used[wa] = True
+            taken[wb] = turn[i[c]]
+            tp_p.append(rows[i[c]])
+            tp_t.append(truth[j[c]])
+            tp_iou.append(iou[c])
+            if near:
+                free = (taken[who_t[j]] > turn[i]) & ~used[who_p[i]]
+                np.maximum.at(best, who_p[i[free]], iou[free])
+            if seen > 4 * len(rest) and 4 * np.count_nonzero(taken[who_t[rest]] <= end) > len(rest):
+                start = int(np.searchsorted(turn, end, "right"))  # goes on without the truths that no later turn can have
+                break
+        else:
+            break
     flat = lambda parts, kind: np.concatenate(parts).astype(kind) if parts else np.zeros(0, kind)
     tp, of_t, iou = flat(tp_p, np.int64), flat(tp_t, np.int64), flat(tp_iou, np.float64)
     fp, fn = at_p[~used[id_p]], at_t[taken[id_t] == never]
     n = [len(tp), len(fp), len(fn)]
     mine, kept = pa.array(np.concatenate([tp, fp, fn])), pa.array(np.concatenate([of_t, fp, fn]))
-    out = [t.column(key).take(mine), t.column("a").take(mine), t.column("b").take(kept), pa.array(np.concatenate([iou, best[id_p[~used[id_p]]], np.zeros(n[2])])), t.column("conf").take(mine), pa.array(np.repeat(["TP", "FP", "FN"], n).tolist(), pa.string())]
-    return pa.table(dict(zip([key, "a", "b", "iou", "conf", "status"], out)))
+    out = [t.column(keys[0]).take(mine), t.column("a").take(mine), t.column("b").take(kept), pa.array(np.concatenate([iou, best[id_p[~used[id_p]]], np.zeros(n[2])])), t.column("conf").take(mine), pa.array(np.repeat(["TP", "FP", "FN"], n).tolist(), pa.string())]
+    return pa.table(dict(zip([keys[0], "a", "b", "iou", "conf", "status"], out)))
+
 
+def matcher(keys: list[str], threshold: float, only: str | None = None):
+    """Batches for ``mapInArrow``: the rows of ``greedy``, of the status ``only`` if it is given."""
 
-def matcher(key: str, threshold: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in whole_groups(batches, [key]):
-            yield from _pieces(greedy(t, key, threshold))
+        for t in whole_groups(batches, keys):
+            got = greedy(t, keys, threshold, only != "TP")
+            yield from _pieces(got.filter(pc.equal(got.column("status"), only)) if only else got)
 
     return run
 
