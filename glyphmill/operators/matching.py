@@ -12,7 +12,7 @@ from glyphmill.functions.text import lev_infix
 from glyphmill.operators import whole
 from glyphmill.operators.lineage import cut, release
 
-#: Boxes of a photo that one task may hold, some 300 MB.
+#: Boxes of a photo that one task may hold, some 850 MB.
 FEW_BOXES = 1 << 20
 #: Largest side of the predictions in the smallest tiles of a larger photo, which are four times as wide; further sizes double.
 SIDE = 128.0
